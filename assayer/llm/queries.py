@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.llm import q_ledger, q_overlap
+from assayer.llm import q_group_split, q_ledger, q_overlap, q_quota_sample, q_residue
 
-_MODULES = (q_ledger, q_overlap)
+_MODULES = (q_ledger, q_overlap, q_residue, q_group_split, q_quota_sample)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
