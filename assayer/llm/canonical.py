@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 _LINE = re.compile(r"\s*([^:]{1,80}?)\s*:(.*)", re.S)
-_BREAK = re.compile(r"[\r\n  \x0b\x0c\x85]+")
+_BREAK = re.compile(r"[\r\n]+")
 
 
 def words(text: str) -> list[str]:
