@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("delivery",)
+_MODULES = ("delivery", "options")
 
 
 def _all(attribute: str) -> dict:
