@@ -118,7 +118,7 @@ def _text_key(text: str = "text") -> Column:
 def judged_segments(texts: DataFrame) -> DataFrame:
     """(text_key, seg, sim, n_words, kind, trusted, body) of the segments of distinct (text, is_key); written.
 
-    ``body`` is kept for verification.
+    ``seg`` is a hash of the segment's words, ``body`` the words themselves, kept for verification.
     """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +148,7 @@ def judged_segments(texts: DataFrame) -> DataFrame:
 
     schema = "text_key binary, kind string, trusted boolean, body string, n_words int, sim long"
     found = texts.select(_text_key().alias("text_key"), "text", "is_key").mapInPandas(of, schema)
-    return written(found, "residue-segments")
+    return written(found.withColumn("seg", F.unhex(F.md5("body"))), "residue-segments")
 
 
 def _tables(rows: DataFrame) -> DataFrame:
@@ -180,29 +180,32 @@ def jaccard_column(a: str, b: str) -> Column:
     return of(a, b)
 
 
-def near(frontier: DataFrame, all_: DataFrame) -> DataFrame:
-    """(body, kind) of segments verified to be near one of the frontier's (body, sim, kind)."""
-    probe = _tables(frontier.select("sim", F.col("body").alias("from_body"), F.col("kind").alias("from_kind")).withColumnRenamed("sim", "from_sim").withColumn("sim", F.col("from_sim"))).drop("sim")
-    pairs = _tables(all_.select("sim", "body")).join(probe, ["table", "block"])
-    pairs = pairs.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("from_sim"))) <= HAMMING) & (F.col("body") != F.col("from_body")))
-    pairs = pairs.select("body", "from_body", "from_kind").distinct()
-    return pairs.where(jaccard_column("body", "from_body") >= SIMILARITY).groupBy("body").agg(F.min("from_kind").alias("kind"))
+def near(frontier: DataFrame, all_: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(seg, sim, kind) of segments verified to be near one of the frontier's (seg, sim, kind).
+
+    Only narrow rows (two hashes) meet in the SimHash tables; texts are fetched for candidates alone.
+    """
+    probe = _tables(frontier).select("table", "block", F.col("seg").alias("from_seg"), F.col("sim").alias("from_sim"), "kind")
+    pairs = _tables(all_.select("seg", "sim")).join(probe, ["table", "block"])
+    pairs = pairs.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("from_sim"))) <= HAMMING) & (F.col("seg") != F.col("from_seg")))
+    pairs = written(pairs.select("seg", "sim", "from_seg", "kind").distinct(), "residue-candidates")
+    needed = pairs.select("seg").unionByName(pairs.select(F.col("from_seg").alias("seg"))).distinct()
+    texts = bodies.join(needed, "seg", "left_semi").groupBy("seg").agg(F.min("body").alias("body"))
+    both = pairs.join(texts, "seg").join(texts.select(F.col("seg").alias("from_seg"), F.col("body").alias("from_body")), "from_seg")
+    return both.where(jaccard_column("body", "from_body") >= SIMILARITY).groupBy("seg", "sim").agg(F.min("kind").alias("kind"))
 
 
 def spread(segs: DataFrame) -> DataFrame:
-    """(body, kind) of all segments in a component with a trusted one, itself included."""
-    spark: SparkSession = segs.sparkSession
-    distinct = written(segs.where(F.col("n_words") > 0).groupBy("body", "sim").agg(F.max("trusted").alias("trusted"), F.min("kind").alias("kind")), "residue-distinct")
-    frontier = distinct.where("trusted").select("body", "sim", "kind")
-    reached = frontier.select("body", "kind")
+    """(seg, kind) of all segments in a component with a trusted one, itself included."""
+    distinct = written(segs.where(F.col("n_words") > 0).groupBy("seg", "sim").agg(F.max("trusted").alias("trusted"), F.min("kind").alias("kind")), "residue-distinct")
+    frontier = written(distinct.where("trusted").select("seg", "sim", "kind"), "residue-trusted")
+    reached = frontier.select("seg", "kind")
     while True:
-        new = near(frontier, distinct).join(reached.select("body"), "body", "left_anti")
-        new = written(new.join(distinct.select("body", "sim"), "body").select("body", "sim", "kind"), "residue-hop")
-        if new.isEmpty():
-            return reached
-        reached = reached.unionByName(new.select("body", "kind"))
-        frontier = new
-        spark.catalog.clearCache()
+        found = near(frontier, distinct, segs.select("seg", "body"))
+        frontier = written(found.join(reached.select("seg"), "seg", "left_anti"), "residue-hop")
+        if frontier.isEmpty():
+            return written(reached, "residue-reached")
+        reached = reached.unionByName(frontier.select("seg", "kind"))
 
 
 def labelled_texts(records: DataFrame) -> DataFrame:
@@ -210,8 +213,8 @@ def labelled_texts(records: DataFrame) -> DataFrame:
     texts = record_texts(records).select("text", "is_key").distinct()
     segs = judged_segments(texts)
     own = segs.where(F.col("kind").isNotNull()).select("text_key", "kind")
-    via = segs.where(F.col("kind").isNull() & (F.col("n_words") > 0)).join(spread(segs).withColumnRenamed("kind", "via"), "body").select("text_key", F.col("via").alias("kind"))
-    return own.unionByName(via).groupBy("text_key").agg(F.min("kind").alias("kind"))
+    via = segs.where(F.col("kind").isNull() & (F.col("n_words") > 0)).join(spread(segs).withColumnRenamed("kind", "via"), "seg").select("text_key", F.col("via").alias("kind"))
+    return written(own.unionByName(via).groupBy("text_key").agg(F.min("kind").alias("kind")), "residue-texts")
 
 
 def residue(records: DataFrame) -> DataFrame:
