@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("delivery", "options", "evaluation", "sets")
+_MODULES = ("delivery", "options", "evaluation", "sets", "confidence", "gates")
 
 
 def _all(attribute: str) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.text import percent
@@ -15,7 +15,12 @@ from assayer.sources.tables import table
 r = Registry()
 _G = views.RESULTS_SQL
 _R = views.FIRST_RECORDS_SQL
-_RIGHT = F.coalesce(F.col("pred_constrained") == F.col("gold"), F.lit(False))
+
+
+def _right() -> Column:
+    return F.coalesce(F.col("pred_constrained") == F.col("gold"), F.lit(False))
+
+
 _LOG = """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (correct IS NOT NULL) DESC,
   CASE WHEN correct IS NOT NULL THEN -log_pos ELSE log_pos END) AS rn FROM result_log) WHERE rn = 1"""
 
@@ -58,7 +63,7 @@ _VALID = "round(avg(CAST(coalesce(length(pred_constrained) = 1 AND instr('ABCDEF
 def accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """A prediction that is null or no option of the item counts as wrong and stays in the denominator."""
     valid = valid_prediction(F.col("pred_constrained"), F.col("n_options"))
-    return views.results(spark, sf).groupBy("arm", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(_RIGHT.cast("int")), 6).alias("accuracy"), F.round(F.avg(valid.cast("int")), 6).alias("valid_rate"))
+    return views.results(spark, sf).groupBy("arm", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(_right().cast("int")), 6).alias("accuracy"), F.round(F.avg(valid.cast("int")), 6).alias("valid_rate"))
 
 
 @r.query("q_agg6_scored_accuracy", f"SELECT lower(trim(source)) AS source, count(correct) AS scored, count(*) AS n, round(avg(CAST(correct AS INT)), 6) AS accuracy FROM ({_LOG}) GROUP BY 1")
@@ -75,7 +80,7 @@ _QUAD = "count(*) FILTER (WHERE ok_a AND ok_b) AS both_right, count(*) FILTER (W
 
 
 def _pairs(spark: SparkSession, sf: str, a: str = "base-c0", b: str = "seed42") -> DataFrame:
-    g = views.results(spark, sf).select("arm", "id", "source", _RIGHT.alias("ok"))
+    g = views.results(spark, sf).select("arm", "id", "source", _right().alias("ok"))
     return paired.aligned(g.where(F.col("arm") == a).drop("arm"), g.where(F.col("arm") == b).drop("arm"))
 
 
@@ -124,7 +129,7 @@ _WILSON = "(p + z * z / (2 * n) {} z * sqrt(p * (1 - p) / n + z * z / (4 * n * n
 SELECT arm, n, k, round({_WILSON.format('-')}, 6) AS lo, round({_WILSON.format('+')}, 6) AS hi
 FROM (SELECT arm, count(*) AS n, count(*) FILTER (WHERE pred_constrained = gold) AS k, CAST(count(*) FILTER (WHERE pred_constrained = gold) AS DOUBLE) / count(*) AS p, CAST(1.95996398454 AS DOUBLE) AS z FROM ({_G}) GROUP BY arm)""")
 def wilson(spark: SparkSession, sf: str) -> DataFrame:
-    per = views.results(spark, sf).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(_RIGHT).alias("k"))
+    per = views.results(spark, sf).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(_right()).alias("k"))
     k, n = F.col("k"), F.col("n")
     return per.select("arm", "n", "k", F.round(paired.wilson(k, n, False), 6).alias("lo"), F.round(paired.wilson(k, n, True), 6).alias("hi"))
 
@@ -176,7 +181,7 @@ def recall(spark: SparkSession, sf: str) -> DataFrame:
 SELECT arm, round(avg(acc), 6) AS task_equal, round(sum(acc * n) / sum(n), 6) AS sample_weighted FROM (
   SELECT arm, source, count(*) AS n, avg(CAST(coalesce(pred_constrained = gold, FALSE) AS INT)) AS acc FROM ({_G}) GROUP BY ALL) GROUP BY arm""")
 def weighted(spark: SparkSession, sf: str) -> DataFrame:
-    per = views.results(spark, sf).groupBy("arm", "source").agg(F.count(F.lit(1)).alias("n"), F.avg(_RIGHT.cast("int")).alias("acc"))
+    per = views.results(spark, sf).groupBy("arm", "source").agg(F.count(F.lit(1)).alias("n"), F.avg(_right().cast("int")).alias("acc"))
     return per.groupBy("arm").agg(F.round(F.avg("acc"), 6).alias("task_equal"), F.round(F.sum(F.col("acc") * F.col("n")) / F.sum("n"), 6).alias("sample_weighted"))
 
 
@@ -347,7 +352,7 @@ SELECT source, count(*) AS families, count(*) FILTER (WHERE base_err) AS base_er
 def family_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Families in which an arm errs at all, in which all arms do, and in which two seeds differ."""
     g = views.results(spark, sf)
-    ok = lambda arm: F.bool_or((F.col("arm") == arm) & _RIGHT)
+    ok = lambda arm: F.bool_or((F.col("arm") == arm) & _right())
     wide = g.groupBy("id").agg(ok("base-c0").alias("base"), ok("seed42").alias("s42"), ok("seed17").alias("s17"), F.count(F.lit(1)).alias("arms")).where("arms = 3")
     x = views.first_records(spark, sf).select("id", "source", "group_id")
     fam = wide.join(x, "id").groupBy("source", "group_id").agg(*[F.bool_or(~F.col(c)).alias(f"{c}_err") for c in ("base", "s42", "s17")])
@@ -359,7 +364,7 @@ def family_errors(spark: SparkSession, sf: str) -> DataFrame:
 SELECT source, round(avg(acc), 6) AS mean_acc, round(stddev_samp(acc), 6) AS sd, bool_and(acc > 0) AS all_positive, bool_or(acc = 0) AS any_zero FROM (
   SELECT source, arm, avg(CAST(coalesce(pred_constrained = gold, FALSE) AS INT)) AS acc FROM ({_G}) WHERE arm LIKE 'seed%' GROUP BY ALL) GROUP BY source""")
 def seed_spread(spark: SparkSession, sf: str) -> DataFrame:
-    per = views.results(spark, sf).where(F.col("arm").startswith("seed")).groupBy("source", "arm").agg(F.avg(_RIGHT.cast("int")).alias("acc"))
+    per = views.results(spark, sf).where(F.col("arm").startswith("seed")).groupBy("source", "arm").agg(F.avg(_right().cast("int")).alias("acc"))
     return per.groupBy("source").agg(F.round(F.avg("acc"), 6).alias("mean_acc"), F.round(F.stddev_samp("acc"), 6).alias("sd"), F.every(F.col("acc") > 0).alias("all_positive"), F.bool_or(F.col("acc") == 0).alias("any_zero"))
 
 
@@ -395,7 +400,7 @@ def constraint_touched(spark: SparkSession, sf: str) -> DataFrame:
     free = F.coalesce(F.col("pred_unconstrained") == F.col("gold"), F.lit(False))
     return views.results(spark, sf).groupBy("arm").agg(
         F.count_if(~F.equal_null("pred_constrained", "pred_unconstrained")).alias("touched"),
-        F.round(F.avg(_RIGHT.cast("int")), 6).alias("constrained"),
+        F.round(F.avg(_right().cast("int")), 6).alias("constrained"),
         F.round(F.avg(free.cast("int")), 6).alias("unconstrained"),
     )
 
@@ -438,7 +443,7 @@ SELECT arm, round(acc - official, 6) AS delta, abs(acc - official) * 100 > 5 AS
 JOIN (SELECT * FROM (VALUES {', '.join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in _OFFICIAL.items())}) t(arm, official)) USING (arm)""")
 def official_delta(spark: SparkSession, sf: str) -> DataFrame:
     """Measured against published accuracy, with a flag beyond five points."""
-    acc = views.results(spark, sf).groupBy("arm").agg(F.avg(_RIGHT.cast("int")).alias("acc"))
+    acc = views.results(spark, sf).groupBy("arm").agg(F.avg(_right().cast("int")).alias("acc"))
     official = spark.createDataFrame(list(_OFFICIAL.items()), "arm string, official double")
     return acc.join(official, "arm").select("arm", F.round(F.col("acc") - F.col("official"), 6).alias("delta"), (F.abs(F.col("acc") - F.col("official")) * 100 > 5).alias("far"))
 
@@ -453,7 +458,7 @@ def effect_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @r.query("q_str9_percent", f"SELECT arm, printf('%.2f', 100 * avg(CAST(coalesce(pred_constrained = gold, FALSE) AS INT))) || '%' AS accuracy FROM ({_G}) GROUP BY arm")
 def percent_text(spark: SparkSession, sf: str) -> DataFrame:
-    return views.results(spark, sf).groupBy("arm").agg(percent(F.avg(_RIGHT.cast("int"))).alias("accuracy"))
+    return views.results(spark, sf).groupBy("arm").agg(percent(F.avg(_right().cast("int"))).alias("accuracy"))
 
 
 @r.query("q_lim2_top_letters", f"SELECT answer, count(*) AS n FROM ({_R}) WHERE answer IS NOT NULL GROUP BY answer ORDER BY n DESC, answer LIMIT 5")
