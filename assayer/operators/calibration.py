@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import vectors as V
+from assayer.plans.prefix import numbered, with_prefix_sums
 
 BINS = 15
 COVERAGES = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 1.0)
@@ -77,10 +78,10 @@ def grid_with_one(low: float, high: float, points: int) -> list[float]:
 
 def selective(rows: DataFrame, by: Sequence[str], coverages: Sequence[float] = COVERAGES, pos: str = "id") -> DataFrame:
     """(by, coverage, k, accuracy): accuracy of the k = ceil(coverage x n) most confident rows, ties in order of pos."""
-    w = Window.partitionBy(*by)
-    ranked = rows.select(*by, "correct", F.row_number().over(w.orderBy(F.desc("pmax"), pos)).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-    wanted = ranked.withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).withColumn("k", F.ceil(F.col("coverage") * F.col("n")))
-    return wanted.where(F.col("rn") <= F.col("k")).groupBy(*by, "coverage", "k").agg(F.avg("correct").alias("accuracy"))
+    ranked = numbered(rows.select(*by, "correct", "pmax", pos), by, [F.desc("pmax"), F.col(pos).asc()])
+    k = [F.ceil(F.lit(c) * F.col("n")) for c in coverages]
+    wanted = ranked.select(*by, "correct", "rn", F.explode(F.array(*[F.struct(F.lit(c).alias("coverage"), x.alias("k")) for c, x in zip(coverages, k, strict=True)])).alias("c"))
+    return wanted.where(F.col("rn") <= F.col("c.k")).groupBy(*by, "c.coverage", "c.k").agg(F.avg("correct").alias("accuracy"))
 
 
 def auc(rows: DataFrame, by: Sequence[str], score: str, ok: str) -> DataFrame:
@@ -89,8 +90,8 @@ def auc(rows: DataFrame, by: Sequence[str], score: str, ok: str) -> DataFrame:
     Equal scores are counted together before they are ordered.
     """
     values = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok).cast("boolean")).alias("pos"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    running = with_prefix_sums(values, by, [F.col(score).asc()], {"n": F.col("n")})
+    ranks = running.withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
     sums = ranks.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum("n").alias("n"))
     return sums.select(*by, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, (F.col("p") * F.col("q")).cast("double")).alias("auc"), "n")
 

@@ -11,17 +11,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.text import number_of
+from assayer.plans.prefix import numbered
 
 
 def families(rows: DataFrame, by: Sequence[str], group: str, values: dict[str, Column]) -> DataFrame:
-    """(by, gi, n_groups, sums..., n): one row per family, numbered from 0 within ``by`` in order of group."""
+    """(by, gi, n_groups, group, sums..., n): one row per family, numbered from 0 within ``by`` in order of group."""
     per = rows.groupBy(*by, group).agg(*[F.sum(c).alias(k) for k, c in values.items()], F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by)
-    return per.select(*by, (F.row_number().over(w.orderBy(group)) - 1).alias("gi"), F.count(F.lit(1)).over(w).alias("n_groups"), *values, "n")
+    out = numbered(per, by, [F.col(group).asc()], "gi", "n_groups")
+    return out.select(*by, (F.col("gi") - 1).cast("int").alias("gi"), "n_groups", group, *values, "n")
 
 
 def draws(fam: DataFrame, by: Sequence[str], replicates: int, seed: str) -> DataFrame:
@@ -60,19 +61,19 @@ def bootstrap_mean(rows: DataFrame, by: Sequence[str], group: str, value: Column
     return joined.select(*by, "point", "lo", "hi", "n_groups", (F.col("lo") == F.col("hi")).alias("degenerate"))
 
 
-def poisson(fam: DataFrame, by: Sequence[str], total: str, replicates: int, seed: str) -> DataFrame:
-    """(by, b, m) with Poisson(1) weights per family and replicate; families are never joined."""
-    u = number_of(seed, F.col("b").cast("string"), *[F.col(c).cast("string") for c in by], F.col("gi").cast("string")) / F.lit(float(16**12))
+def poisson(rows: DataFrame, by: Sequence[str], group: str, value: Column, replicates: int, seed: str) -> DataFrame:
+    """(by, b, m) with Poisson(1) weights per family and replicate; families are neither numbered nor joined."""
+    fam = rows.groupBy(*by, group).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    u = number_of(seed, F.col("b").cast("string"), *[F.col(c).cast("string") for c in by], F.col(group).cast("string")) / F.lit(float(16**12))
     weight = sum((F.when(u >= c, 1).otherwise(0) for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)), F.lit(0))
     cells = fam.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("weight", weight)
-    return cells.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col(total) * F.col("weight")), F.sum(F.col("n") * F.col("weight"))).alias("m"))
+    return cells.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("s") * F.col("weight")), F.sum(F.col("n") * F.col("weight"))).alias("m"))
 
 
 def bootstrap_statistic(rows: DataFrame, group: str, columns: Sequence[str], statistic: Callable[[pd.DataFrame], float], replicates: int, seed: str) -> DataFrame:
     """(b, m) for any statistic of the drawn rows: replicates are spread over tasks, each sees one replicate's rows."""
     fam = families(rows, [], group, {})
-    numbered = rows.select(group, *columns).join(rows.groupBy(group).count().select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("gi")), group)
-    j = numbered.join(draws(fam, [], replicates, seed), "gi")
+    j = rows.select(group, *columns).join(fam.select(group, "gi"), group).join(draws(fam, [], replicates, seed), "gi")
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         b = pdf["b"].iloc[0]

@@ -138,6 +138,6 @@ def test_bootstrap(spark):
     assert a[1][1:4] == (1.0, 1.0, 1.0) and a[1][5] is True
     fam = resample.families(rows, ["arm"], "g", {"s": F.col("v")})
     assert resample.replicates_of_ratio(fam, ["arm"], "s", 10, "s").count() == 20
-    assert resample.interval_nearest_rank(resample.poisson(fam, ["arm"], "s", 40, "t"), ["arm"]).count() == 2
+    assert resample.interval_nearest_rank(resample.poisson(rows, ["arm"], "g", F.col("v"), 40, "t"), ["arm"]).count() == 2
     total = resample.draws(fam, ["arm"], 7, "s").groupBy("arm", "b").agg(F.sum("weight").alias("w")).collect()
     assert {(r["arm"], r["w"]) for r in total} == {(1, 4), (2, 2)}
