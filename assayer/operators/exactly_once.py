@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.plans.skew import HEAVY_SHARE
+
 _N = "__copies__"
 _RANK = "__rank__"
 
@@ -30,20 +32,32 @@ def judged_first(correct: str = "correct", pos: str = "log_pos") -> list[Column]
 
 
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Identifiers with two rows or more."""
+    """(key, copies): identifiers with two rows or more."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(_N)).where(F.col(_N) > 1)
 
 
+def _heavy_and_light(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Repeated identifiers above and below a share of HEAVY_SHARE of all rows; at most 1 / HEAVY_SHARE are above."""
+    floor = max(2, int(rows.count() * HEAVY_SHARE))
+    counts = repeated_keys(rows, key)
+    return counts.where(F.col(_N) >= floor).select(key), counts.where(F.col(_N) < floor).select(key)
+
+
 def best_of_repeated(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """One row for each identifier that has two or more: the first in ``order``."""
-    mine = rows.join(repeated_keys(rows, key).select(key), key, "left_semi")
+    """One row for each identifier that has two or more: the first in ``order``.
+
+    Rows of heavy identifiers are picked out by a broadcast of those few and never shuffled whole.
+    """
+    heavy, light = _heavy_and_light(rows, key)
+    mine = rows.join(F.broadcast(heavy), key, "left_semi").unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(light, key, "left_semi"))
     ranked = mine.withColumn(_RANK, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.where(F.col(_RANK) == 1).drop(_RANK)
 
 
 def singletons(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose identifier occurs once, and those without an identifier."""
-    return rows.join(repeated_keys(rows, key).select(key), key, "left_anti")
+    heavy, light = _heavy_and_light(rows, key)
+    return rows.join(F.broadcast(heavy), key, "left_anti").join(light, key, "left_anti")
 
 
 def exactly_once(stored: DataFrame, key: str, order: Sequence[Column], arrived: DataFrame | None = None) -> DataFrame:
