@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.plans.lineage import written
+from assayer.plans.skew import join_by_counted_key
 
 
 def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -27,8 +28,8 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     clusters = written(both.unionByName(own).distinct(), "components-0")
     size = (clusters.count(), None)
     for k in range(1, most_rounds + 1):
-        least = clusters.groupBy("node").agg(F.min("member").alias("least"))
-        known = clusters.join(least, "node")
+        least = written(clusters.groupBy("node").agg(F.min("member").alias("least"), F.count(F.lit(1)).alias("held")), f"components-least-{k}")
+        known = join_by_counted_key(clusters, least, "node", "held", size[0])  # a hub may hold a large part of all rows
         sent = known.select(F.col("least").alias("node"), "member").unionByName(known.select(F.col("member").alias("node"), F.col("least").alias("member")))
         fresh = written(sent.distinct(), f"components-{k}")
         now = fresh.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first()

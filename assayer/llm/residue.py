@@ -217,7 +217,11 @@ def labelled_texts(records: DataFrame) -> DataFrame:
     return written(own.unionByName(via).groupBy("text_key").agg(F.min("kind").alias("kind")), "residue-texts")
 
 
-def residue(records: DataFrame) -> DataFrame:
-    """(id, kind): records with residue and, of its kinds, the first by name."""
-    held = record_texts(records).select("id", _text_key().alias("text_key"))
-    return held.join(labelled_texts(records), "text_key").groupBy("id").agg(F.min("kind").alias("kind"))
+def residue(records: DataFrame, ways: int = 8) -> DataFrame:
+    """(id, kind): records with residue and, of its kinds, the first by name.
+
+    A text that very many records share is spread over ``ways`` tasks by the records' ids.
+    """
+    held = record_texts(records).select("id", _text_key().alias("text_key"), F.pmod(F.xxhash64("id"), F.lit(ways)).cast("int").alias("salt"))
+    labels = labelled_texts(records).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).withColumn("salt", F.col("salt").cast("int"))
+    return held.join(labels, ["text_key", "salt"]).groupBy("id").agg(F.min("kind").alias("kind"))
