@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("delivery", "options", "evaluation", "sets", "confidence", "gates")
+_MODULES = ("delivery", "options", "evaluation", "sets", "confidence", "gates", "functions")
 
 
 def _all(attribute: str) -> dict:
