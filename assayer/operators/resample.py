@@ -53,12 +53,11 @@ def interval_nearest_rank(reps: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def bootstrap_mean(rows: DataFrame, by: Sequence[str], group: str, value: Column, replicates: int, seed: str) -> DataFrame:
-    """(by, point, lo, hi, n_groups, degenerate)."""
+    """(by, point, lo, hi, n_groups, degenerate); by must name a column."""
     fam = families(rows, by, group, {"s": value})
     point = fam.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("point"), F.max("n_groups").alias("n_groups"))
     ci = interval(replicates_of_ratio(fam, by, "s", replicates, seed), by)
-    joined = point.join(ci, list(by)) if by else point.crossJoin(ci)
-    return joined.select(*by, "point", "lo", "hi", "n_groups", (F.col("lo") == F.col("hi")).alias("degenerate"))
+    return point.join(ci, list(by)).select(*by, "point", "lo", "hi", "n_groups", (F.col("lo") == F.col("hi")).alias("degenerate"))
 
 
 def poisson(rows: DataFrame, by: Sequence[str], group: str, value: Column, replicates: int, seed: str) -> DataFrame:

@@ -214,13 +214,17 @@ def no_skill(spark: SparkSession, sf: str) -> DataFrame:
     """
     x = views.first_records(spark, sf).where(F.col("options").isNotNull() & F.col("answer").isNotNull()).select("answer", "answer_key", F.size("options").alias("n"))
     c = x.groupBy("n", "answer").agg(F.count(F.lit(1)).alias("k"))
-    total = c.agg(F.sum("k").alias("total"), (F.sum(F.col("k") / F.col("n")) / F.sum("k")).alias("uniform"))
-    letter = c.groupBy("answer").agg(F.sum("k").alias("k")).agg(F.max("k").alias("letter"))
-    key = x.where(F.col("answer_key").isNotNull()).groupBy("answer_key").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k").alias("key"))
-    by_n = c.groupBy("n").agg(F.max("k").alias("m")).agg(F.sum("m").alias("by_n"))
-    one = total.crossJoin(letter).crossJoin(key).crossJoin(by_n)  # four single rows
-    share = lambda k: F.round(F.col(k) / F.col("total"), 6)
-    return one.select(F.round("uniform", 6).alias("uniform"), share("letter").alias("letter"), share("key").alias("key"), share("by_n").alias("by_n_options"))
+    named = lambda df, name, value: df.select(F.lit(name).alias("name"), value.cast("double").alias("value"))
+    letter = c.groupBy("answer").agg(F.sum("k").alias("k"))
+    key = x.where(F.col("answer_key").isNotNull()).groupBy("answer_key").agg(F.count(F.lit(1)).alias("k"))
+    by_n = c.groupBy("n").agg(F.max("k").alias("m"))
+    parts = [named(c, "total", F.sum("k")), named(c, "chance", F.sum(F.col("k") / F.col("n"))), named(letter, "letter", F.max("k")), named(key, "key", F.max("k")), named(by_n, "by_n", F.sum("m"))]
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    share = lambda name: F.round(of(name) / of("total"), 6)
+    return all_.agg(share("chance").alias("uniform"), share("letter").alias("letter"), share("key").alias("key"), share("by_n").alias("by_n_options"))
 
 
 _N2 = f"SELECT source, len(options) AS n, answer, group_id FROM ({_R}) WHERE options IS NOT NULL AND answer IS NOT NULL"
