@@ -1,7 +1,8 @@
 """Template residue and error-page text: trusted labels spread over near-duplicate segments.
 
 1. Every distinct text of the records (state, question, option description, option key) is cut into
-   segments: the values of a JSON object or of ``Label: value`` lines, else the whole text.
+   segments: the values of a JSON object, the values of ``Label: value`` lines and their whole, else
+   the whole text.
 2. Rules label segments that hold residue; a segment that is residue only is trusted.
 3. Distinct segments get a 64-bit SimHash of their five-word shingles. SimHash tables, one per
    block of bits, find pairs that agree in a block; pairs within HAMMING bits (so that by the
@@ -60,7 +61,8 @@ def segments(text: str) -> list[str]:
         if len(lines) > 1:
             fields = [_LINE.fullmatch(x) for x in lines]
             if all(fields):
-                return [m[2] for m in fields if m[2].strip()]
+                # An error page may look like such lines, its message standing where a label would.
+                return [*(m[2] for m in fields if m[2].strip()), body]
     return [body] if body else []
 
 
