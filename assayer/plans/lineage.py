@@ -28,8 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _of_session(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/assayer/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/assayer/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_of_session(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; results not yet read are lost."""
+    delete(spark, _of_session(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
