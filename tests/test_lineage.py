@@ -6,7 +6,7 @@ from assayer.plans import lineage
 def test_written_tables_have_a_short_lineage_and_can_be_cleared(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 3).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     back = lineage.written(df, "t")
-    assert back.schema == df.schema and back.exceptAll(df).isEmpty()
+    assert back.dtypes == df.dtypes and back.exceptAll(df).isEmpty()
     assert "Aggregate" not in back._jdf.queryExecution().executedPlan().toString()
     path = lineage.new_path(spark, "x")
     spark.range(1).write.parquet(path)
