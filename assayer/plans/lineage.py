@@ -50,10 +50,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, system = _path_and_system(spark, path)
+    system.delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _path_and_system(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of its file system, so that others than Spark open the same one."""
+    p, system = _path_and_system(spark, path)
+    return system.makeQualified(p).toString()
+
+
+def folders(spark: SparkSession, path: str, name: str) -> set[int]:
+    """The numbers of the partition folders ``name=number`` below path, by listing it."""
+    p, system = _path_and_system(spark, path)
+    names = [x.getPath().getName() for x in system.listStatus(p)]
+    return {int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}=")}
