@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.canonical import canonical_column, key_column
-from assayer.plans.lineage import new_path
+from assayer.plans.lineage import folders, new_path
 
 BUCKETS = 32
 MEMBERS = "bucket int, key binary, id string, n_rows long, first_at timestamp"
@@ -75,7 +75,7 @@ class Ledger:
         fresh = batch.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("first_at").alias("first_at")).withColumn("bucket", bucket)
         stage = _write(fresh, "ledger-batch")
         fresh = self.spark.read.schema(MEMBERS).parquet(stage)
-        touched = {r[0] for r in fresh.select("bucket").distinct().collect()}  # at most ``buckets`` rows
+        touched = folders(self.spark, stage, "bucket")
         if not touched:
             return self
         if not self.members:
@@ -102,6 +102,9 @@ class Ledger:
         rows = F.col("batch_rows") if "batch_rows" in added.columns else F.col("n_rows")
         earliest = F.struct(F.coalesce("first_at", F.lit("9999-12-31").cast("timestamp")).alias("at"), "id")
         batch = added.groupBy("bucket", "key").agg(F.sum(new).alias("n_ids"), F.sum(rows).alias("n_rows"), F.min("id").alias("keep_id"), F.min(earliest).alias("first"))
+        if not self.classes:
+            first = batch.select("bucket", "key", "n_ids", "n_rows", "keep_id", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
+            return dict.fromkeys(touched, _write(first, "ledger-classes"))
         old = self._read(self.classes, CLASSES, touched).select("bucket", "key", "n_ids", "n_rows", "keep_id", F.struct(F.coalesce("first_at", F.lit("9999-12-31").cast("timestamp")).alias("at"), F.col("first_id").alias("id")).alias("first"))
         both = old.alias("o").join(batch.alias("b"), ["bucket", "key"], "full_outer")
         total = lambda c: (F.coalesce(f"o.{c}", F.lit(0)) + F.coalesce(f"b.{c}", F.lit(0))).cast("long").alias(c)
