@@ -4,17 +4,19 @@
    segments: the values of a JSON object, the values of ``Label: value`` lines and their whole, else
    the whole text.
 2. Rules label segments that hold residue; a segment that is residue only is trusted.
-3. Distinct segments get a 64-bit SimHash of their five-word shingles. SimHash tables, one per
-   block of bits, find pairs that agree in a block; pairs within HAMMING bits (so that by the
-   pigeonhole principle one block agrees) are verified for Hamming distance and for a Jaccard
-   similarity of 0.8 or more on the shingles.
+3. Distinct segments are near if the Jaccard similarity of their five-word shingles is 0.8 or more.
+   Of n shingles, sorted by hash, the first n // 5 + 1 are a segment's prefix: two near segments
+   share at least 4/5 of the shingles of each, hence one of their prefixes, so that pairs which meet
+   in a prefix shingle, and whose places there leave room for enough common ones, are all that can
+   be near. They are verified on their words. No near pair is missed. (At a similarity of 0.8
+   SimHash codes differ by about 10 of 64 bits, too many for tables of blocks.)
 4. Labels spread from trusted segments along verified pairs, hop by hop, until nothing new is
    reached: these are exactly the connected components that hold a trusted segment. Segments that
    mix residue with real content are labelled themselves but label no others, since a near copy of
    such a text may lack the residue.
 5. A record is residue if any of its segments is.
 
-Only segments near a labelled one are ever paired, so no bucket of unlabelled texts is squared.
+Only labelled segments are paired with unlabelled ones, so no bucket of either kind is squared.
 Defined results: nulls, empty texts and null options hold no residue; a null id is left out;
 repeated rows count once; extra columns are ignored.
 """
@@ -34,7 +36,7 @@ from assayer.llm.residue_rules import Judge, key_is_residue
 from assayer.llm.tokens import WordHash, flat
 from assayer.plans.lineage import written
 
-SHINGLE, SIMILARITY, HAMMING, BLOCK_BITS = 5, 0.8, 3, 16
+SHINGLE, SIMILARITY, HAMMING = 5, 0.8, 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +92,7 @@ def shingles(words: np.ndarray, starts: np.ndarray, size: int = SHINGLE) -> tupl
 
 
 def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of the shingles; not used to find pairs, since it misses most of those at SIMILARITY."""
     h, at = shingles(words, starts)
     out = np.zeros(len(starts) - 1, np.uint64)
     some = np.flatnonzero(np.diff(at) > 0)
@@ -101,6 +104,19 @@ def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefixes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each text the number n of its distinct shingles, and the n // 5 + 1 least of their hashes, in order."""
+    h, at = shingles(words, starts)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    h, n = h[first].view(np.int64), np.bincount(text[first], minlength=len(at) - 1)
+    begin = np.cumsum(n) - n
+    return n, [h[b : b + k // 5 + 1] for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
+
+
 def record_texts(records: DataFrame) -> DataFrame:
     """(id, text, is_key): each text of each record."""
     options = F.coalesce("options", F.expr("cast(array() as array<struct<label:string,key:string,description:string>>)"))
@@ -118,47 +134,44 @@ def _text_key(text: str = "text") -> Column:
 
 
 def judged_segments(texts: DataFrame) -> DataFrame:
-    """(text_key, seg, sim, n_words, kind, trusted, body) of the segments of distinct (text, is_key); written.
+    """(text_key, seg, n_words, kind, trusted, body) of the segments of distinct (text, is_key); written.
 
     ``seg`` is a hash of the segment's words, ``body`` the words themselves, kept for verification.
     """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge, memory = Judge(), WordHash()
+        judge = Judge()
         for pdf in batches:
-            rows, ws = [], []
+            rows = []
             for key, text, is_key in zip(pdf["text_key"], pdf["text"], pdf["is_key"], strict=True):
                 if is_key:
                     w = WORD.findall(text.casefold())
                     kind = "placeholder" if key_is_residue(text) else None
-                    rows.append((key, kind, False, " ".join(w)))
-                    ws.append(w)
+                    rows.append((key, kind, False, " ".join(w), len(w)))
                     continue
                 for s in segments(text):
                     w = WORD.findall(s.casefold())
                     kind, trusted = judge(s, w)
-                    rows.append((key, kind, trusted, " ".join(w)))
-                    ws.append(w)
-            if not rows:
-                continue
-            words, starts = flat(ws, memory)
-            sim = simhash(words, starts)
-            out = pd.DataFrame(rows, columns=["text_key", "kind", "trusted", "body"])
-            out["n_words"] = np.diff(starts)
-            out["sim"] = sim.view(np.int64)
-            yield out
-
-    schema = "text_key binary, kind string, trusted boolean, body string, n_words int, sim long"
+                    rows.append((key, kind, trusted, " ".join(w), len(w)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["text_key", "kind", "trusted", "body", "n_words"])
+
+    schema = "text_key binary, kind string, trusted boolean, body string, n_words int"
     found = texts.select(_text_key().alias("text_key"), "text", "is_key").mapInPandas(of, schema)
     return written(found.withColumn("seg", F.unhex(F.md5("body"))), "residue-segments")
 
 
-def _tables(rows: DataFrame) -> DataFrame:
-    """One row per SimHash table: its number and its block of bits."""
-    blocks = 64 // BLOCK_BITS
-    mask = (1 << BLOCK_BITS) - 1
-    block = F.array(*[F.shiftrightunsigned("sim", i * BLOCK_BITS).bitwiseAND(F.lit(mask)).cast("int") for i in range(blocks)])
-    return rows.select("*", F.posexplode(block).alias("table", "block"))
+def distinct_segments(segs: DataFrame) -> DataFrame:
+    """(seg, kind, trusted, body, n, prefix): each segment that holds words, once; written."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = WordHash()
+        for pdf in batches:
+            n, prefix = prefixes(*flat((b.split(" ") for b in pdf["body"]), memory))
+            yield pdf.assign(n=n, prefix=prefix)
+
+    once = segs.where(F.col("n_words") > 0).groupBy("seg").agg(F.min("kind").alias("kind"), F.max("trusted").alias("trusted"), F.min("body").alias("body"))
+    return written(once.mapInPandas(of, "seg binary, kind string, trusted boolean, body string, n int, prefix array<long>"), "residue-distinct")
 
 
 def _grams(text: str) -> set:
@@ -182,32 +195,34 @@ def jaccard_column(a: str, b: str) -> Column:
     return of(a, b)
 
 
-def near(frontier: DataFrame, all_: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(seg, sim, kind) of segments verified to be near one of the frontier's (seg, sim, kind).
+def near(frontier: DataFrame, rest: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(seg, kind) of the segments of rest that are near one of the frontier's (seg, kind, n, prefix).
 
-    Only narrow rows (two hashes) meet in the SimHash tables; texts are fetched for candidates alone.
+    Only narrow rows (hashes) meet in the prefix shingles; texts are fetched for candidates alone.
     """
-    probe = _tables(frontier).select("table", "block", F.col("seg").alias("from_seg"), F.col("sim").alias("from_sim"), "kind")
-    pairs = _tables(all_.select("seg", "sim")).join(probe, ["table", "block"])
-    pairs = pairs.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("from_sim"))) <= HAMMING) & (F.col("seg") != F.col("from_seg")))
-    pairs = written(pairs.select("seg", "sim", "from_seg", "kind").distinct(), "residue-candidates")
+    probe = frontier.select(F.col("seg").alias("from_seg"), F.col("n").alias("from_n"), "kind", F.posexplode("prefix").alias("from_place", "gram"))
+    pairs = rest.select("seg", "n", F.posexplode("prefix").alias("place", "gram")).join(probe, "gram")
+    # From their first common shingle on, near segments of n and m shingles have 4 / 9 of n + m in common.
+    room = F.least(F.col("n") - F.col("place"), F.col("from_n") - F.col("from_place"))
+    pairs = pairs.where(room * 9 >= (F.col("n") + F.col("from_n")) * 4)
+    pairs = written(pairs.select("seg", "from_seg", "kind").distinct(), "residue-candidates")
     needed = pairs.select("seg").unionByName(pairs.select(F.col("from_seg").alias("seg"))).distinct()
-    texts = bodies.join(needed, "seg", "left_semi").groupBy("seg").agg(F.min("body").alias("body"))
+    texts = distinct.select("seg", "body").join(needed, "seg", "left_semi")
     both = pairs.join(texts, "seg").join(texts.select(F.col("seg").alias("from_seg"), F.col("body").alias("from_body")), "from_seg")
-    return both.where(jaccard_column("body", "from_body") >= SIMILARITY).groupBy("seg", "sim").agg(F.min("kind").alias("kind"))
+    return both.where(jaccard_column("body", "from_body") >= SIMILARITY).groupBy("seg").agg(F.min("kind").alias("kind"))
 
 
 def spread(segs: DataFrame) -> DataFrame:
     """(seg, kind) of all segments in a component with a trusted one, itself included."""
-    distinct = written(segs.where(F.col("n_words") > 0).groupBy("seg", "sim").agg(F.max("trusted").alias("trusted"), F.min("kind").alias("kind")), "residue-distinct")
-    frontier = written(distinct.where("trusted").select("seg", "sim", "kind"), "residue-trusted")
-    reached = frontier.select("seg", "kind")
-    while True:
-        found = near(frontier, distinct, segs.select("seg", "body"))
-        frontier = written(found.join(reached.select("seg"), "seg", "left_anti"), "residue-hop")
-        if frontier.isEmpty():
-            return written(reached, "residue-reached")
-        reached = reached.unionByName(frontier.select("seg", "kind"))
+    distinct = distinct_segments(segs)
+    narrow = distinct.select("seg", "n", "prefix")
+    reached = written(distinct.where("trusted").select("seg", "kind"), "residue-trusted")
+    frontier = reached
+    while not frontier.isEmpty():
+        found = near(narrow.join(frontier, "seg"), narrow.join(reached, "seg", "left_anti"), distinct)
+        frontier = written(found, "residue-hop")
+        reached = reached.unionByName(frontier)
+    return written(reached, "residue-reached")
 
 
 def labelled_texts(records: DataFrame) -> DataFrame:

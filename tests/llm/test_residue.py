@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import residue
 from assayer.llm.residue_rules import Judge, key_is_residue
@@ -91,6 +94,34 @@ def test_labels_spread_to_near_copies_only(spark):
     assert bytes([1]) in reached or bin(int(sims[0]) ^ int(sims[1])).count("1") > residue.HAMMING
 
 
+def test_every_near_copy_is_reached(spark):
+    """Against brute force: texts of many lengths with words replaced, Jaccard down to 0.8; chains of them; texts just below."""
+    rng = random.Random(5)
+    texts, trusted = [], []
+    for size in (3, 5, 9, 20, 40, 80, 200):
+        for _ in range(12):
+            base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            trusted.append(" ".join(base))
+            for edits in (1, 1, 2, 2, 3, 4, 6):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(size)] = f"x{rng.randrange(5000)}"
+                texts.append(" ".join(copy))
+            copy[0:1] = ["x", "y"]
+            texts.append(" ".join(copy))  # near the last copy, perhaps not near the base
+    expected, fresh = set(trusted), set(trusted)
+    grams = {a: residue._grams(a) for a in expected.union(texts)}
+    near = {a: {b for b, q in grams.items() if len(p & q) >= residue.SIMILARITY * len(p | q)} for a, p in grams.items()}
+    while fresh:
+        fresh = {b for a in fresh for b in near[a]} - expected
+        expected |= fresh
+    assert len(trusted) + 100 < len(expected) < len(near)
+    sims = residue.simhash(*flat([t.split() for t in near], WordHash())).view(np.int64)
+    rows = [(t.encode(), int(x), len(t.split()), "error_page" if t in set(trusted) else None, t in set(trusted), t) for t, x in zip(near, sims, strict=True)]
+    segs = spark.createDataFrame(rows, "seg binary, sim long, n_words int, kind string, trusted boolean, body string").withColumn("text_key", F.col("seg"))
+    assert {bytes(r["seg"]).decode() for r in residue.spread(segs).collect()} == expected
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], f"id string, state string, question string, options {OPTION}")
     assert residue.residue(df).count() == 0
