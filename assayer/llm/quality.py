@@ -3,10 +3,9 @@
 ``statistics`` reads every text once. ``scored`` ranks each statistic within its language exactly
 (see ``ranks``) and combines the empirical tail probabilities over the statistics: per document the
 sums of -ln of the lower, of the upper and of the smaller tail, of which the greatest is its outlier
-score. ``shaped`` decides between prose, list, table and junk; a text can only be other than prose
-if it is an outlier: with few exceptions no text of a corpus of prose differs from it in layout or
-wording without standing in the tail of some statistic. That gate (GATE) is generous, so a corpus
-half made of tables still shows them.
+score. ``shaped`` decides between prose, list, table and junk by the text's own statistics alone:
+ranks depend on how many equal texts there are, so they are told beside the shape and never change
+it, whatever the size of a group of copies or of a language.
 
 Defined results: a null text has no statistics and no row; an empty text or one without words has
 the statistics 0, no language and, unless it holds symbols, the shape prose; a null or repeated id
@@ -26,7 +25,6 @@ from assayer.llm.text_stats import COLUMNS, measure, shape
 from assayer.plans.lineage import written
 from assayer.plans.skew import join_by_counted_key
 
-GATE = 0.5
 #: Rows of the rank table up to which it is broadcast (about 50 bytes each).
 MOST_BROADCAST = 400_000
 
@@ -70,5 +68,4 @@ def scored(stats: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
 def shaped(documents: DataFrame) -> DataFrame:
     """(doc_id, language, shape, outlier, tail) of every text."""
     found = scored(statistics(documents))
-    shape_ = F.when(F.col("tail") <= GATE, F.col("shape_rule")).otherwise("prose")
-    return found.select("doc_id", "language", shape_.alias("shape"), "outlier", "tail")
+    return found.select("doc_id", "language", F.col("shape_rule").alias("shape"), "outlier", "tail")

@@ -155,3 +155,11 @@ def test_quality(spark):
     by = lambda d: {r["doc_id"]: (r["outlier"], r["tail"]) for r in d.collect()}
     assert by(quality.scored(stats)) == by(quality.scored(stats, most_broadcast=0))
     assert quality.shaped(df.limit(0)).count() == 0
+
+
+def test_copies_and_lone_texts_keep_their_shape(spark):
+    """A text that is most of its language, or alone in it, has no small tail; its shape stays."""
+    texts = [SHAPES["list"][3]] * 9 + ["这份申请是否需要上报，由小组决定。"] * 2 + ["x\ty\tz\n1\t2\t3\n4\t5\t6"] + [SENTENCES] * 5 + [SHAPES["list"][1]] * 20
+    got = {r["doc_id"]: (r["shape"], r["tail"]) for r in quality.shaped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(len(texts))] == ["list"] * 9 + ["prose"] * 2 + ["table"] + ["prose"] * 5 + ["list"] * 20
+    assert got[0][1] > 0.5 and got[11][1] == 1.0
