@@ -1,9 +1,8 @@
-"""Evaluation texts inside a corpus: rare n-gram seeds and local alignment.
+"""Evaluation texts inside a corpus: n-gram seeds and local alignment.
 
 1. All five-word runs of the test items are counted over the whole corpus (documents that hold them).
-2. Of the runs inside each stretch of RUN words of an item the rarest is a seed. A document that
-   holds such a stretch holds all its runs, so it holds the seed; stretches whose rarest run is
-   nowhere in the corpus need no seed at all.
+2. Every run that occurs is a seed, rare or not: a document with an edited copy may hold but one of
+   an item's runs, and not its rarest. So each pair with five words in a row in common is scored.
 3. Documents are read once more; where a seed occurs, document passage and item are joined. The
    common run through the seed is extended word by word, and Smith-Waterman alignment of the item
    with the passage around its seeds scores edited and paraphrased copies.
@@ -94,17 +93,14 @@ def frequencies(documents: DataFrame, wanted: np.ndarray) -> Counter:
     return Counter({int(np.int64(r["run"]).view(np.uint64)): r["n"] for r in found.toLocalIterator()})  # at most the block's runs
 
 
-def choose_seeds(items: dict[str, np.ndarray], counts: Counter, run: int = RUN) -> dict[int, list[tuple[str, int]]]:
-    """{run hash: [(item, place)]}: the rarest run of each stretch, if all of the stretch's are in the corpus."""
-    seeds: dict[int, set] = defaultdict(set)
+def choose_seeds(items: dict[str, np.ndarray], counts: Counter) -> dict[int, list[tuple[str, int]]]:
+    """{run hash: [(item, place)]}: every run that is in the corpus."""
+    seeds: dict[int, list] = defaultdict(list)
     for name, w in items.items():
-        h = [int(x) for x in runs(w)]
-        span = min(run - SEED_WORDS + 1, len(h))
-        for i in range(len(h) - span + 1):
-            n, x, j = min((counts.get(h[k], 0), h[k], k) for k in range(i, i + span))
-            if n:
-                seeds[x].add((name, j))
-    return {x: sorted(v) for x, v in seeds.items()}
+        for j, x in enumerate(runs(w).tolist()):
+            if counts.get(x, 0):
+                seeds[x].append((name, j))
+    return dict(seeds)
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -150,7 +146,14 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 
 def _aligner(items: dict[str, np.ndarray], seeds: dict[int, list[tuple[str, int]]], align: bool) -> object:
-    wanted = np.array(sorted(seeds), np.uint64)
+    # Flat arrays: as many seeds as a block has runs may reach a task.
+    order, names = sorted(seeds), list(items)
+    number = {name: k for k, name in enumerate(names)}
+    wanted = np.array(order, np.uint64)
+    first = np.cumsum([0, *(len(seeds[x]) for x in order)])
+    which = np.array([number[name] for x in order for name, _ in seeds[x]], np.int32)
+    place = np.array([j for x in order for _, j in seeds[x]], np.int32)
+    del seeds, order, number
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, words, starts, h in _batches(batches):
@@ -158,9 +161,10 @@ def _aligner(items: dict[str, np.ndarray], seeds: dict[int, list[tuple[str, int]
             doc = np.searchsorted(starts, at, side="right") - 1
             inside = at + SEED_WORDS <= starts[doc + 1]
             pairs: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
-            for p, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
-                for name, j in seeds[int(h[p])]:
-                    pairs[d, name].append((p - int(starts[d]), j))
+            seed = np.searchsorted(wanted, h[at[inside]])
+            for p, d, lo, hi in zip(at[inside].tolist(), doc[inside].tolist(), first[seed].tolist(), first[seed + 1].tolist(), strict=True):
+                for k, j in zip(which[lo:hi].tolist(), place[lo:hi].tolist(), strict=True):
+                    pairs[d, names[k]].append((p - int(starts[d]), j))
             out = []
             for (d, name), hits in pairs.items():
                 text, item = words[starts[d] : starts[d + 1]], items[name]
@@ -173,12 +177,12 @@ def _aligner(items: dict[str, np.ndarray], seeds: dict[int, list[tuple[str, int]
                     longest = max(longest, n)
                 score = 0
                 if align:
-                    done = -1
-                    for i, j in sorted(hits):
-                        if i < done:
-                            continue
-                        lo, hi = max(0, i - j - len(item) // 2), min(len(text), i - j + len(item) + len(item) // 2)
-                        score, done = max(score, smith_waterman(item, text[lo:hi])[0]), hi - len(item) // 2
+                    half, done = len(item) // 2, None
+                    for at_ in sorted({i - j for i, j in hits}):  # where the item would begin
+                        if done is not None and at_ <= done:
+                            continue  # lies whole inside the last window
+                        lo, hi = max(0, at_ - half), max(0, min(len(text), at_ + len(item) + half))
+                        score, done = max(score, smith_waterman(item, text[lo:hi])[0]), at_ + half
                 out.append((ids.iloc[d], name, longest, score, len(item)))
             yield pd.DataFrame(out, columns=["doc_id", "item", "run", "score", "item_words"])
 

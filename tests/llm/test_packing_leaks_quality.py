@@ -105,6 +105,24 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(df.limit(0), exam).count() == 0 and leaks.leaks(df, exam.limit(0)).count() == 0
 
 
+def test_edited_copies_are_aligned(spark):
+    """A word changed every 6 to 11 words: no stretch of 12 is whole, and elsewhere the item's rarest runs lie."""
+    items = [(f"x{i}", " ".join(f"i{i}w{k}" for k in range(66))) for i in range(4)]
+    docs = [(0, items[0][1])]
+    for i, t in items:
+        for every in range(6, 12):
+            w = t.split()
+            w[every - 1 :: every] = [f"e{every}w{k}" for k in range(len(w[every - 1 :: every]))]
+            docs.append((len(docs), f"before it {' '.join(w)} and after it"))
+            docs.append((len(docs), " ".join(w[:every])))
+    docs.append((len(docs), " ".join(items[3][1].split()[60:] + items[3][1].split())))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = leaks.leaks(df, spark.createDataFrame(items, "id string, text string")).collect()
+    assert {(r["doc_id"], r["item"]) for r in rows} == brute(docs, items, leaks.SEED_WORDS)
+    assert all(r["score"] >= leaks.MATCH * r["run"] for r in rows)
+    assert all(r["score"] >= 2 * 55 - 11 for r in rows if 0 < r["doc_id"] < 49 and r["doc_id"] % 2)
+
+
 def test_blocks_bound_what_is_broadcast(spark):
     exam = spark.createDataFrame([(f"x{i}", " ".join(f"w{i}x{k}" for k in range(20))) for i in range(10)], "id string, text string")
     assert [len(b) for b in leaks.blocks(exam, "id", "text", most=50)] == [2, 2, 2, 2, 2]
