@@ -96,8 +96,10 @@ LATIN_RUN = 6
 # What unfilled templates hold.
 _NAME = r"[A-Za-z_][\w.]*"
 _SIMPLE = "name|names|date|product|city|company|desk|address|email|phone|title|amount|reason|subject|customer|client|field|value|text|insert|placeholder|variable|todo|tbd|key"
-_LOOKS_NAMED = rf"(?!(?i:sic|angle|nbsp)\b)(?:(?:{_SIMPLE})\b|[A-Z][A-Z_ ]*[A-Z]|[A-Za-z]\w*[_.]\w+|[A-Za-z]+\d+)"
+_LOOKS_NAMED = rf"(?!(?i:sic|angle|nbsp)\b)(?:(?i:{_SIMPLE})\b|[A-Z][A-Z_ ]*[A-Z]|[A-Za-z]\w*[_.]\w+|[A-Za-z]+\d+)"
+_OWNERS = "your|client|customer|company|first|last|full|recipient|sender|contact|product|project|user"
 _PLACEHOLDERS = [
+    rf"[\[<{{](?i:(?:(?:{_OWNERS}) ){{1,2}}(?:{_SIMPLE}))[\]>}}]",
     rf"\{{\{{\s*{_NAME}\s*\}}\}}",
     rf"\{{%\s*{_NAME}\s*%\}}",
     rf"<<\s*{_NAME}\s*>>",
@@ -116,7 +118,7 @@ _PLACEHOLDERS = [
     r"\.{6,}",
     r"【[^】]*填[^】]*】",
     r"\[object Object\]",
-    r"[\[<(](?:insert|add|replace|enter|write|your)\b[^\]>)]*[\]>)]",
+    r"[\[<(](?i:insert|add|replace|enter|write|your)\b[^\]>)]*[\]>)]",
     r"\[[^\]]*(?:einfügen|eintragen|ausfüllen)\]",
     r"\(name\)",
     r"\b(?:INSERT|YOUR|ENTER)_[A-Z]+\b",
@@ -130,9 +132,15 @@ _PLACEHOLDERS = [
     r"\bDear <<",
 ]
 _PLACEHOLDER = re.compile("|".join(_PLACEHOLDERS))
-_MAYBE = re.compile(r"[{}<>\[\]%@$_【]|\.{6}|\(name|\(replace|\((?:insert|add|enter|your)|NaN|undefined|XXX|TBD|TODO|FIXME|xx/")
+_MAYBE = re.compile(r"[{}<>\[\]%@$_【]|\.{6}|\((?i:name|insert|add|replace|enter|write|your)|NaN|undefined|XXX|TBD|TODO|FIXME|xx/")
 _KEY = re.compile(r"\{\w+\}|tbd(?:_\d+)?|todo(?:_\d+)?|key_\d+", re.I)
 
+#: Forms of error pages and notices on scripts, over words; the reasons are those of HTTP.
+_FORMS = [
+    ("error_page", re.compile(r" (?:400 bad request|401 unauthorized|402 payment required|403 forbidden|404 not found|405 method not allowed|406 not acceptable|408 request time ?out|409 conflict|410 gone|413 payload too large|414 uri too long|415 unsupported media type|422 unprocessable (?:content|entity)|429 too many requests|451 unavailable for legal reasons|500 internal server error|501 not implemented|502 bad gateway|503 service unavailable|504 gateway time ?out|505 http version not supported)(?= )")),
+    ("script_notice", re.compile(r" (?:(?:this|the) (?:page|site|website|app|application|form) (?:requires|needs) (?:javascript|scripts)|(?:enable|activate|turn on) javascript|javascript (?:is (?:required|disabled|blocked|turned off)|must be (?:enabled|turned on)))(?= )")),
+]
+
 
 def _automaton() -> object:
     import ahocorasick
@@ -170,6 +178,10 @@ class Judge:
                     continue
             kind = found
             spoiled = max(spoiled, phrase.count(" ") + 1)
+        for found, form in _FORMS:
+            if (m := form.search(joined)) is not None:
+                kind = kind if kind not in (None, "placeholder") else found
+                spoiled = max(spoiled, m[0].count(" "))
         if sum(w in LATIN for w in words) >= LATIN_RUN:
             run = best = 0
             for w in words:

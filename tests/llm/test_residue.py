@@ -34,6 +34,11 @@ def test_no_residue(text):
     assert JUDGE(text)[0] is None
 
 
+@pytest.mark.parametrize("text", ["[Your Name] wrote", "Dear [Client Name]", "on [Insert date here]", "[Date]", "for <Name>", "{Customer} asked", "(write your answer here)", "This page requires JavaScript", "410 Gone", "JavaScript must be enabled here"])
+def test_residue_in_any_case_and_form(text):
+    assert JUDGE(text)[0] is not None
+
+
 def test_keys():
     assert key_is_residue("tbd_3") and key_is_residue("{key_0}") and not key_is_residue("close_form_3") and not key_is_residue("")
 
