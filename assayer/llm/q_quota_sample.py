@@ -22,10 +22,11 @@ def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Per cell of the targets: ids there are, wanted and drawn, and whether the target is unmet."""
+    """Per cell of the targets: ids there are, the rounded quota, the least that meets the target, ids drawn, whether it is short."""
     drawn, quotas = _sample(spark, sf)
     counts = drawn.groupBy("source", "n_options").agg(F.count(F.lit(1)).alias("drawn"))
-    return quotas.join(counts, ["source", "n_options"], "left").select("source", "n_options", "available", "wanted", F.coalesce("drawn", F.lit(0)).cast("bigint").alias("drawn"), "short")
+    drawn_ = F.coalesce("drawn", F.lit(0)).cast("bigint").alias("drawn")
+    return quotas.join(counts, ["source", "n_options"], "left").select("source", "n_options", "available", "rounded", "needed", drawn_, "short", "change")
 
 
 QUERIES = {"p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report}

@@ -2,8 +2,9 @@
 
 1. Quotas: the wanted table is fractional (sample size x per mille). Controlled rounding makes it
    whole: every cell becomes its floor or its ceiling, and so do every row sum, every column sum and
-   the total, which a largest flow through rows -> cells -> columns finds. Minimums then lift small
-   cells, and no cell asks for more than there is.
+   the total, which a largest flow through rows -> cells -> columns finds. A second flow, with the
+   minimums below and what is there above each cell, makes up for missing ids in other cells as far
+   as both margins allow. What then remains open stays open, rather than bend a margin.
 2. Draw: each record id has a key from SHA-256 of seed and id. A cell takes the ids with its
    smallest keys, exactly as many as its quota. A histogram of key prefixes per cell, which is
    aggregated before it is shuffled, says in which prefix the last one lies; all ids before it are
@@ -12,7 +13,8 @@
 
 Defined results: an id counts once per cell however often it was delivered; an id in several cells
 belongs to each; rows without id or options, or in no cell of the targets, are never drawn; a cell
-with fewer ids than wanted gives all it has and is reported; targets need not sum to 1,000; cells
+with fewer ids than it needs gives all it has and is reported as short; one drawn below its rounded quota shows
+it in ``change``; targets need not sum to 1,000; cells
 given twice count with their sum and larger minimum; ties of keys break by id.
 """
 
@@ -93,15 +95,47 @@ def sample_size(records: DataFrame, part: int = 5) -> int:
     return records.select("id").where(F.col("id").isNotNull()).distinct().count() // part
 
 
+def flow_quotas(targets: dict[tuple[str, int], tuple[int, int]], available: dict[tuple[str, int], int], size: int) -> dict[tuple[str, int], tuple[int, int, int]]:
+    """{cell: (rounded, needed, quota)}: what the proportions say, the least that meets the target, and what is drawn.
+
+    A largest flow through rows -> cells -> columns. Every cell carries at least what it needs, as far
+    as that is there, and at most what is there; every row and column at most its rounded margin (or,
+    where minimums lift it, what its cells need). First cells are filled up to their rounded quota;
+    then what missing ids left open in a row and in a column is made up by other cells, so long as
+    both margins hold, moving quotas along alternating paths where no single cell would do.
+    """
+    if not targets:
+        return {}
+    rounded = controlled_rounding({k: (size * ppt, 1000) for k, (ppt, _) in targets.items()})
+    need = {k: max(least, size * ppt // 1000) for k, (ppt, least) in targets.items()}
+    low = {k: min(need[k], available.get(k, 0)) for k in targets}
+    rows, cols = sorted({r for r, _ in targets}), sorted({c for _, c in targets})
+    margin = lambda of: max(sum(rounded[k] for k in of), sum(low[k] for k in of)) - sum(low[k] for k in of)
+    net = Network(2 + len(rows) + len(cols))
+    for i, r in enumerate(rows):
+        net.add(0, 2 + i, margin([k for k in targets if k[0] == r]))
+    for j, c in enumerate(cols):
+        net.add(2 + len(rows) + j, 1, margin([k for k in targets if k[1] == c]))
+    there = {k: available.get(k, 0) for k in targets}
+    first = {k: max(0, min(rounded[k], there[k]) - low[k]) for k in targets}
+    edge = {k: net.add(2 + rows.index(k[0]), 2 + len(rows) + cols.index(k[1]), first[k]) for k in sorted(targets)}
+    net.push(0, 1)
+    for k, e in edge.items():
+        net.edges[e][1] += there[k] - low[k] - first[k]
+    net.push(0, 1)
+    return {k: (rounded[k], need[k], low[k] + net.flow_of(edge[k])) for k in targets}
+
+
 def quota_table(spark: SparkSession, targets: dict[tuple[str, int], tuple[int, int]], have: DataFrame, size: int) -> DataFrame:
-    """(source, n_options, available, wanted, quota, short): one row per cell of the targets."""
-    quota = controlled_rounding({k: (size * ppt, 1000) for k, (ppt, _) in targets.items()}) if targets else {}
-    rows = [(s, n, quota[s, n], max(least, size * ppt // 1000), max(least, quota[s, n])) for (s, n), (ppt, least) in sorted(targets.items())]
-    wanted = spark.createDataFrame(rows, "source string, n_options bigint, rounded bigint, floor_or_min bigint, wanted bigint")
-    counts = have.groupBy("source", "n_options").agg(F.count(F.lit(1)).alias("available"))
-    joined = wanted.join(counts, ["source", "n_options"], "left")
-    available = F.coalesce("available", F.lit(0)).cast("bigint")
-    return joined.select("source", "n_options", available.alias("available"), "floor_or_min", "wanted", F.least(available, "wanted").alias("quota"), (available < F.col("floor_or_min")).alias("short"))
+    """(source, n_options, available, rounded, needed, quota, short, change): one row per cell of the targets.
+
+    ``short``: the flow could not give the cell what it needs. ``change``: ids drawn beyond (or, negative, below) the rounded quota.
+    """
+    cells_ = spark.createDataFrame([*targets] or [], "source string, n_options bigint")
+    counts = have.join(F.broadcast(cells_), ["source", "n_options"]).groupBy("source", "n_options").agg(F.count(F.lit(1)).alias("available"))
+    available = {(r["source"], r["n_options"]): r["available"] for r in counts.collect()}  # at most one row per cell of the targets
+    rows = [(*k, available.get(k, 0), rounded, need, quota, quota < need, quota - rounded) for k, (rounded, need, quota) in sorted(flow_quotas(targets, available, size).items())]
+    return spark.createDataFrame(rows, "source string, n_options bigint, available bigint, rounded bigint, needed bigint, quota bigint, short boolean, change bigint")
 
 
 def draw(have: DataFrame, quotas: DataFrame, seed: str = SEED) -> DataFrame:
