@@ -12,19 +12,31 @@ from assayer.llm.text_stats import COLUMNS, measure, shape
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 100), max_size=60), st.integers(1, 5))
-def test_best_fit_keeps_every_capacity(sizes, most):
+@given(st.lists(st.integers(1, 100), max_size=60), st.integers(1, 5), st.integers(100, 180))
+def test_best_fit_keeps_every_capacity(sizes, most, attention):
     sizes = np.array(sorted(sizes, reverse=True), int)
-    bins = packing.best_fit(sizes, 100, most, attention=8000.0 + 2000)
+    bins = packing.best_fit(sizes, np.array([100.0, most, attention]), tile=10)
     for b in set(bins.tolist()):
         mine = sizes[bins == b]
-        assert mine.sum() <= 100 and len(mine) <= most and (mine.astype(float) ** 2).sum() <= 10000
+        assert mine.sum() <= 100 and len(mine) <= most and (np.ceil(mine / 10) ** 2).sum() <= attention
+
+
+@pytest.mark.parametrize(("sizes", "bound"), [([50] * 40, 0), ([1] * 300, 1), ([1930] + [5] * 20, 2)])
+def test_each_capacity_binds(sizes, bound):
+    """Two containers because of one capacity alone: without it, fewer."""
+    whole = packing.capacities()
+    n = lambda w: len(set(packing.best_fit(np.array(sizes), w).tolist()))
+    if not bound:
+        sizes = [400] * 6
+    free = whole.copy()
+    free[bound] = 1e9
+    assert n(free) < n(whole)
 
 
 def test_best_fit_is_close_to_the_bound():
     rng = np.random.default_rng(0)
     sizes = np.sort(rng.integers(1, 900, 4000))[::-1]
-    bins = packing.best_fit(sizes, 2048)
+    bins = packing.best_fit(sizes)
     assert len(set(bins.tolist())) <= 1.01 * -(-sizes.sum() // 2048)
 
 
@@ -41,12 +53,18 @@ def test_pack_covers_every_token_once(spark):
         used[r["container"]] += r["n_tokens"]
     assert max(used.values()) <= 2048
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+    hot = packing.pack(spark.createDataFrame([(7, 1000)] * 90, "doc_id long, n_tokens long"), items_per_shard=10).collect()
+    assert len(hot) == 90 and len({r["container"].split("-")[0] for r in hot}) > 4
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), attention=9)
 
 
 def test_token_counts(spark):
     rows = [(1, "Hello world, again.", 1), (2, "", 1), (3, None, 1), (None, "x", 1), (4, "a" * 100_000, 1), (5, "这份申请 <|endoftext|>", 1)]
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")).collect()}
     assert got[1] == 5 and got[2] == 0 and set(got) == {1, 2, 4, 5}
+    other = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(spark.createDataFrame([(1, "Hello world, again.")], "doc_id long, text string"), tokenizer="/opt/tokenizers/byte_bpe_50k.tiktoken").collect()}
+    assert other == {1: 5}
 
 
 def test_smith_waterman():
