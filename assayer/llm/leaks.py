@@ -1,11 +1,14 @@
 """Evaluation texts inside a corpus: n-gram seeds and local alignment.
 
 1. All five-word runs of the test items are counted over the whole corpus (documents that hold them).
-2. Every run that occurs is a seed, rare or not: a document with an edited copy may hold but one of
-   an item's runs, and not its rarest. So each pair with five words in a row in common is scored.
-3. Documents are read once more; where a seed occurs, document passage and item are joined. The
-   common run through the seed is extended word by word, and Smith-Waterman alignment of the item
-   with the passage around its seeds scores edited and paraphrased copies.
+2. A run in few documents (RARE_SHARE of all, or RARE_DOCUMENTS) is a rare seed: one of them is
+   enough to join document and item. Runs in more documents are phrases that many texts use; by
+   those alone a pair is joined if its common runs cover RUN of the item's words, which is counted
+   exactly, so that neither a copy of boilerplate nor an edited copy made of common phrases is lost.
+3. Documents are read once more; where seeds join a passage and an item, common runs are extended
+   word by word and merged, and Smith-Waterman alignment of the item with the passage around its
+   seeds scores edited and paraphrased copies. A pair is a leak by its score: at least that of RUN
+   words in a row, which every text with such a run reaches.
 
 The items' runs reach the tasks in blocks of at most BLOCK_RUNS (16 bytes each), which is the bound
 on what is broadcast; a larger test set takes several passes over the corpus. Documents are never
@@ -16,7 +19,7 @@ case and everything that is neither letter nor digit; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,7 @@ from assayer.llm.residue import mix
 from assayer.llm.tokens import WordHash, flat
 
 SEED_WORDS, RUN = 5, 12
+RARE_SHARE, RARE_DOCUMENTS = 0.001, 20
 BLOCK_RUNS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -62,10 +66,12 @@ def blocks(items: DataFrame, id_: str, text: str, most: int = BLOCK_RUNS) -> Ite
         yield block
 
 
-def _hits(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _hits(h: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in h of wanted runs, their numbers)."""
     at = np.searchsorted(wanted, h)
     at[at == len(wanted)] = 0
-    return np.flatnonzero(wanted[at] == h)
+    found = np.flatnonzero(wanted[at] == h)
+    return found, at[found]
 
 
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,31 +82,29 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, np.nd
         yield pdf["doc_id"], words, starts, runs(words)
 
 
-def frequencies(documents: DataFrame, wanted: np.ndarray) -> Counter:
-    """How many documents hold each wanted run."""
+def frequencies(documents: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """How many documents hold each of the wanted runs."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        total = np.zeros(len(wanted), np.int64)
         for _, _, starts, h in _batches(batches):
-            at = _hits(h, wanted)
+            at, which = _hits(h, wanted)
             doc = np.searchsorted(starts, at, side="right") - 1
             inside = at + SEED_WORDS <= starts[doc + 1]
-            pairs = np.unique(np.stack([doc[inside].astype(np.uint64), h[at[inside]]]), axis=1)
-            total.update(pairs[1].tolist())
-        yield pd.DataFrame({"run": np.array(list(total), np.uint64).view(np.int64), "n": np.array(list(total.values()), np.int64)})
+            once = np.unique(np.stack([doc[inside], which[inside]]), axis=1)
+            total += np.bincount(once[1], minlength=len(wanted))
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"run": some, "n": total[some]})
 
-    found = documents.mapInPandas(of, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    return Counter({int(np.int64(r["run"]).view(np.uint64)): r["n"] for r in found.toLocalIterator()})  # at most the block's runs
+    out = np.zeros(len(wanted), np.int64)
+    for r in documents.mapInPandas(of, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).toLocalIterator():  # at most the block's runs
+        out[r["run"]] = r["n"]
+    return out
 
 
-def choose_seeds(items: dict[str, np.ndarray], counts: Counter) -> dict[int, list[tuple[str, int]]]:
-    """{run hash: [(item, place)]}: every run that is in the corpus."""
-    seeds: dict[int, list] = defaultdict(list)
-    for name, w in items.items():
-        for j, x in enumerate(runs(w).tolist()):
-            if counts.get(x, 0):
-                seeds[x].append((name, j))
-    return dict(seeds)
+def rare(counts: np.ndarray, documents: int) -> np.ndarray:
+    """Which runs are rare: in at most RARE_SHARE of the documents, or in RARE_DOCUMENTS."""
+    return (counts > 0) & (counts <= max(RARE_DOCUMENTS, int(documents * RARE_SHARE)))
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -130,60 +134,78 @@ def common_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
     return i - back, back + on
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "id", item_text: str = "text", align: bool = True) -> DataFrame:
-    """(doc_id, item, run, score, item_words): the longest common run and alignment score of each seeded pair."""
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "id", item_text: str = "text", block_runs: int = BLOCK_RUNS) -> DataFrame:
+    """(doc_id, item, run, shared, score, item_words) of each pair that is scored.
+
+    run is the longest common run of words, shared the item's words inside common runs of five or
+    more, score that of the best local alignment.
+    """
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item string, run int, score int, item_words int"
-    out = rows.sparkSession.createDataFrame([], schema)
-    for block in blocks(items, item_id, item_text):
-        counts = frequencies(rows, np.unique(np.concatenate([runs(w) for w in block.values()])))
-        seeds = choose_seeds(block, counts)
-        if seeds:
-            out = out.unionByName(rows.mapInPandas(_aligner(block, seeds, align), schema))
+    schema = f"doc_id {kind}, item string, run int, shared int, score int, item_words int"
+    out, total = rows.sparkSession.createDataFrame([], schema), None
+    for block in blocks(items, item_id, item_text, block_runs):
+        total = rows.count() if total is None else total
+        wanted = np.unique(np.concatenate([runs(w) for w in block.values()]))
+        counts = frequencies(rows, wanted)
+        if counts.any():
+            out = out.unionByName(rows.mapInPandas(_aligner(block, wanted[counts > 0], rare(counts, total)[counts > 0]), schema))
     item = F.element_at(F.split("item", "\x1f"), 1)
-    return out.withColumn("item", item).groupBy("doc_id", "item").agg(F.max("run").alias("run"), F.max("score").alias("score"), F.max("item_words").alias("item_words"))
+    return out.withColumn("item", item).groupBy("doc_id", "item").agg(*[F.max(c).alias(c) for c in ("run", "shared", "score", "item_words")])
+
 
+def _chains(hits: list[tuple[int, int]], text: np.ndarray, item: np.ndarray) -> tuple[int, int, list[int]]:
+    """(longest common run, item words in common runs, where the item would begin) of seed hits (place in text, place in item)."""
+    longest, known, covered = 0, {}, np.zeros(len(item), bool)
+    for i, j in hits:
+        if i < known.get(i - j, -1):
+            continue  # inside a run that is known
+        begin, n = common_run(text, i, item, j)
+        known[i - j] = begin + n
+        longest = max(longest, n)
+        covered[begin - i + j : begin - i + j + n] = True
+    return longest, int(covered.sum()), sorted(known)
 
-def _aligner(items: dict[str, np.ndarray], seeds: dict[int, list[tuple[str, int]]], align: bool) -> object:
+
+def _aligner(items: dict[str, np.ndarray], wanted: np.ndarray, is_rare: np.ndarray) -> object:
     # Flat arrays: as many seeds as a block has runs may reach a task.
-    order, names = sorted(seeds), list(items)
-    number = {name: k for k, name in enumerate(names)}
-    wanted = np.array(order, np.uint64)
-    first = np.cumsum([0, *(len(seeds[x]) for x in order)])
-    which = np.array([number[name] for x in order for name, _ in seeds[x]], np.int32)
-    place = np.array([j for x in order for _, j in seeds[x]], np.int32)
-    del seeds, order, number
+    names, words_of_items = list(items), list(items.values())
+    h = [runs(w) for w in words_of_items]
+    flat_h, which, place = np.concatenate(h), np.repeat(np.arange(len(h)), [len(x) for x in h]), np.concatenate([np.arange(len(x)) for x in h])
+    at = np.searchsorted(wanted, flat_h)
+    at[at == len(wanted)] = 0
+    here = np.flatnonzero(wanted[at] == flat_h)
+    here = here[np.argsort(at[here], kind="stable")]
+    first = np.searchsorted(at[here], np.arange(len(wanted) + 1))
+    which, place = which[here].astype(np.int32), place[here].astype(np.int32)
+    del h, flat_h, at, here
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, words, starts, h in _batches(batches):
-            at = _hits(h, wanted)
+            at, seed = _hits(h, wanted)
             doc = np.searchsorted(starts, at, side="right") - 1
             inside = at + SEED_WORDS <= starts[doc + 1]
-            pairs: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
-            seed = np.searchsorted(wanted, h[at[inside]])
-            for p, d, lo, hi in zip(at[inside].tolist(), doc[inside].tolist(), first[seed].tolist(), first[seed + 1].tolist(), strict=True):
+            pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            seeded: set[tuple[int, int]] = set()
+            for p, d, x in zip(at[inside].tolist(), doc[inside].tolist(), seed[inside].tolist(), strict=True):
+                lo, hi = first[x], first[x + 1]
                 for k, j in zip(which[lo:hi].tolist(), place[lo:hi].tolist(), strict=True):
-                    pairs[d, names[k]].append((p - int(starts[d]), j))
+                    pairs[d, k].append((p - int(starts[d]), j))
+                    if is_rare[x]:
+                        seeded.add((d, k))
             out = []
-            for (d, name), hits in pairs.items():
-                text, item = words[starts[d] : starts[d + 1]], items[name]
-                longest, seen = 0, {}
-                for i, j in hits:
-                    if i < seen.get(i - j, -1):
-                        continue  # inside a run that is known
-                    begin, n = common_run(text, i, item, j)
-                    seen[i - j] = begin + n
-                    longest = max(longest, n)
-                score = 0
-                if align:
-                    half, done = len(item) // 2, None
-                    for at_ in sorted({i - j for i, j in hits}):  # where the item would begin
-                        if done is not None and at_ <= done:
-                            continue  # lies whole inside the last window
-                        lo, hi = max(0, at_ - half), max(0, min(len(text), at_ + len(item) + half))
-                        score, done = max(score, smith_waterman(item, text[lo:hi])[0]), at_ + half
-                out.append((ids.iloc[d], name, longest, score, len(item)))
-            yield pd.DataFrame(out, columns=["doc_id", "item", "run", "score", "item_words"])
+            for (d, k), hits in pairs.items():
+                text, item = words[starts[d] : starts[d + 1]], words_of_items[k]
+                longest, shared, begins = _chains(hits, text, item)
+                if (d, k) not in seeded and shared < RUN:
+                    continue  # nothing but a common phrase
+                score, half, done = 0, len(item) // 2, None
+                for b in begins:
+                    if done is not None and b <= done:
+                        continue  # lies whole inside the last window
+                    lo, hi = max(0, b - half), max(0, min(len(text), b + len(item) + half))
+                    score, done = max(score, smith_waterman(item, text[lo:hi])[0]), b + half
+                out.append((ids.iloc[d], names[k], longest, shared, score, len(item)))
+            yield pd.DataFrame(out, columns=["doc_id", "item", "run", "shared", "score", "item_words"])
 
     return of

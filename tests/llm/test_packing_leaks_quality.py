@@ -141,6 +141,26 @@ def test_edited_copies_are_aligned(spark):
     assert all(r["score"] >= 2 * 55 - 11 for r in rows if 0 < r["doc_id"] < 49 and r["doc_id"] % 2)
 
 
+def test_recall_of_edited_copies(spark):
+    """Copies with a word replaced, dropped or put in once every 6 to 12 words, beside phrases that every text holds."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    phrase = "as the rules of this desk say so often"
+    items = [(f"x{i}", " ".join([phrase, *(rng.choice(vocabulary) for _ in range(rng.randrange(30, 90)))])) for i in range(12)]
+    docs, copies = [(d, f"{phrase} {' '.join(rng.choice(vocabulary) for _ in range(60))}") for d in range(300)], set()
+    for i, t in items:
+        for every in range(6, 13):
+            w = []
+            for k, x in enumerate(t.split()):
+                w += [x] if k % every or not k else [[], ["new"], [x, "more"]][rng.randrange(3)]
+            copies.add((len(docs), i))
+            docs.append((len(docs), f"It began so. {' '.join(w)}. It went on {phrase}"))
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "id string, text string")).where(f"score >= {leaks.MATCH * leaks.RUN}").collect()
+    got = {(r["doc_id"], r["item"]) for r in found}
+    assert len(got & copies) / len(copies) >= 0.99
+    assert not got - copies  # the phrase alone, in every text, is no leak
+
+
 def test_blocks_bound_what_is_broadcast(spark):
     exam = spark.createDataFrame([(f"x{i}", " ".join(f"w{i}x{k}" for k in range(20))) for i in range(10)], "id string, text string")
     assert [len(b) for b in leaks.blocks(exam, "id", "text", most=50)] == [2, 2, 2, 2, 2]
