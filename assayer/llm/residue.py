@@ -3,17 +3,22 @@
 1. Every distinct text of the records (state, question, option description, option key) is cut into
    segments: the values of a JSON object, the values of ``Label: value`` lines and their whole, else
    the whole text.
-2. Rules label segments that hold residue; a segment that is residue only is trusted.
-3. Distinct segments are near if the Jaccard similarity of their five-word shingles is 0.8 or more.
-   Of n shingles, sorted by hash, the first n // 5 + 1 are a segment's prefix: two near segments
-   share at least 4/5 of the shingles of each, hence one of their prefixes, so that pairs which meet
-   in a prefix shingle, and whose places there leave room for enough common ones, are all that can
-   be near. They are verified on their words. No near pair is missed. (At a similarity of 0.8
-   SimHash codes differ by about 10 of 64 bits, too many for tables of blocks.)
+2. Rules label segments that hold residue; one that consists of it by TRUST or more is trusted: a copy
+   that lacks the residue is not near it any more. Texts known to be residue (a table, if given)
+   are trusted as well, whatever the rules say of them.
+3. Segments are near if the Jaccard similarity of their five-word shingles is 0.8 or more; words with
+   a digit (codes, references, times) are left out before. Near ones of the trusted are looked for
+   in partitioned SimHash tables: a SimHash of BITS bits is cut into TABLES blocks of 16, and
+   segments meet that agree in a block and are alike in length. Those within HAMMING bits are then
+   compared word by word. At a similarity of 0.8 about an eighth to a sixth of the bits differ, hence
+   so many tables and so wide a radius; the tests measure a recall of 0.9 and more.
+   A segment can only be near a trusted one if four fifths of its own shingles stand in trusted ones,
+   which a bit map of fixed size answers (with false alarms, never the other way); so SimHashes are
+   made of those segments alone.
 4. Labels spread from trusted segments along verified pairs, hop by hop, until nothing new is
-   reached: these are exactly the connected components that hold a trusted segment. Segments that
-   mix residue with real content are labelled themselves but label no others, since a near copy of
-   such a text may lack the residue.
+   reached: these are exactly the connected components that hold a trusted segment. Segments with a
+   little residue amid real content are labelled themselves but label no others, since a near copy
+   of such a text may lack the residue.
 5. A record is residue if any of its segments is.
 
 Only labelled segments are paired with unlabelled ones, so no bucket of either kind is squared.
@@ -24,6 +29,8 @@ repeated rows count once; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +43,13 @@ from assayer.llm.residue_rules import Judge, key_is_residue
 from assayer.llm.tokens import WordHash, flat
 from assayer.plans.lineage import written
 
-SHINGLE, SIMILARITY, HAMMING = 5, 0.8, 3
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of a SimHash, its blocks of 16 bits (one table each), and in how many bits near ones may differ.
+BITS, TABLES, HAMMING = 1536, 96, 390
+#: Bits of the map of shingles that stand in trusted segments: 8 MB, whatever their number.
+MAP_BITS = 1 << 26
+#: Fewer shingles than this cannot be near without being equal.
+LEAST_SHINGLES = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,30 +104,36 @@ def shingles(words: np.ndarray, starts: np.ndarray, size: int = SHINGLE) -> tupl
     return h, at
 
 
-def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of the shingles; not used to find pairs, since it misses most of those at SIMILARITY."""
-    h, at = shingles(words, starts)
-    out = np.zeros(len(starts) - 1, np.uint64)
-    some = np.flatnonzero(np.diff(at) > 0)
-    if len(some):
-        n = np.diff(at)[some]
-        for bit in range(64):
-            ones = np.add.reduceat((h >> np.uint64(bit) & np.uint64(1)).astype(np.int32), at[:-1][some])
-            out[some] |= (ones * 2 > n).astype(np.uint64) << np.uint64(bit)
-    return out
+_LANES = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(BITS // 64)]
 
 
-def prefixes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each text the number n of its distinct shingles, and the n // 5 + 1 least of their hashes, in order."""
+def distinct_shingles(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingles``, each once per text."""
     h, at = shingles(words, starts)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    h, n = h[first].view(np.int64), np.bincount(text[first], minlength=len(at) - 1)
-    begin = np.cumsum(n) - n
-    return n, [h[b : b + k // 5 + 1] for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
+    return h[first], np.concatenate(([0], np.cumsum(np.bincount(text[first], minlength=len(at) - 1))))
+
+
+def simhash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHashes (a row of bytes per text) of shingle hashes, text i's being h[at[i]:at[i + 1]]."""
+    n = np.diff(at)
+    out = np.zeros((len(n), BITS // 8), np.uint8)
+    step, i = 1 << 14, 0
+    while i < len(n):  # so many shingles at a time, or one text
+        j = max(i + 1, int(np.searchsorted(at, at[i] + step, side="right")) - 1)
+        mine = h[at[i] : at[j]]
+        some = i + np.flatnonzero(n[i:j])
+        if len(some):
+            for k, lane in enumerate(_LANES):
+                bits = np.unpackbits(mix(mine * lane + lane).view(np.uint8).reshape(-1, 8), axis=1)
+                ones = np.add.reduceat(bits, at[some] - at[i], axis=0, dtype=np.int32)
+                out[some, 8 * k : 8 * k + 8] = np.packbits(ones * 2 > n[some][:, None], axis=1)
+        i = j
+    return out
 
 
 def record_texts(records: DataFrame) -> DataFrame:
@@ -129,14 +148,19 @@ def record_texts(records: DataFrame) -> DataFrame:
     return rows.select("id", "t.text", "t.is_key").where(F.col("text").isNotNull())
 
 
+_DIGIT = re.compile(r"\d").search
+
+
 def _text_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.col(text)))
 
 
-def judged_segments(texts: DataFrame) -> DataFrame:
+def judged_segments(texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(text_key, seg, n_words, kind, trusted, body) of the segments of distinct (text, is_key); written.
 
-    ``seg`` is a hash of the segment's words, ``body`` the words themselves, kept for verification.
+    ``known`` (text, kind) adds texts that are residue as a whole; they belong to no record.
+
+    ``body`` are the segment's words but for those with a digit, ``seg`` is their hash.
     """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,32 +170,71 @@ def judged_segments(texts: DataFrame) -> DataFrame:
             for key, text, is_key in zip(pdf["text_key"], pdf["text"], pdf["is_key"], strict=True):
                 if is_key:
                     w = WORD.findall(text.casefold())
-                    kind = "placeholder" if key_is_residue(text) else None
-                    rows.append((key, kind, False, " ".join(w), len(w)))
+                    rows.append((key, "placeholder" if key_is_residue(text) else None, False, " ".join(x for x in w if not _DIGIT(x)), len(w)))
                     continue
                 for s in segments(text):
                     w = WORD.findall(s.casefold())
                     kind, trusted = judge(s, w)
-                    rows.append((key, kind, trusted, " ".join(w), len(w)))
+                    rows.append((key, kind, trusted, " ".join(x for x in w if not _DIGIT(x)), len(w)))
             if rows:
                 yield pd.DataFrame(rows, columns=["text_key", "kind", "trusted", "body", "n_words"])
 
     schema = "text_key binary, kind string, trusted boolean, body string, n_words int"
     found = texts.select(_text_key().alias("text_key"), "text", "is_key").mapInPandas(of, schema)
+    if known is not None:
+
+        def as_known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                bodies = [WORD.findall(t.casefold()) for t in pdf["text"]]
+                yield pd.DataFrame({"text_key": None, "kind": pdf["kind"], "trusted": True, "body": [" ".join(x for x in w if not _DIGIT(x)) for w in bodies], "n_words": [len(w) for w in bodies]})
+
+        whole = known.where(F.col("text").isNotNull()).select("text", F.coalesce("kind", F.lit("known")).alias("kind"))
+        found = found.unionByName(whole.mapInPandas(as_known, schema))
     return written(found.withColumn("seg", F.unhex(F.md5("body"))), "residue-segments")
 
 
 def distinct_segments(segs: DataFrame) -> DataFrame:
-    """(seg, kind, trusted, body, n, prefix): each segment that holds words, once; written."""
+    """(seg, kind, trusted, body): each segment that holds words, once; written."""
+    once = segs.where(F.col("body") != "").groupBy("seg").agg(F.min("kind").alias("kind"), F.max("trusted").alias("trusted"), F.min("body").alias("body"))
+    return written(once, "residue-distinct")
+
+
+def shingle_map(bodies: DataFrame) -> np.ndarray:
+    """The bit map of all shingles of the bodies; its size is fixed."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory = WordHash()
         for pdf in batches:
-            n, prefix = prefixes(*flat((b.split(" ") for b in pdf["body"]), memory))
-            yield pdf.assign(n=n, prefix=prefix)
+            h, _ = shingles(*flat((b.split(" ") for b in pdf["body"]), memory))
+            at = np.unique(h & np.uint64(MAP_BITS - 1)).astype(np.int64)
+            yield pd.DataFrame({"place": at >> 6, "bits": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
+
+    out = np.zeros(MAP_BITS >> 6, np.uint64)
+    found = bodies.select("body").mapInPandas(of, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most MAP_BITS / 64 rows
+    out[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
-    once = segs.where(F.col("n_words") > 0).groupBy("seg").agg(F.min("kind").alias("kind"), F.max("trusted").alias("trusted"), F.min("body").alias("body"))
-    return written(once.mapInPandas(of, "seg binary, kind string, trusted boolean, body string, n int, prefix array<long>"), "residue-distinct")
+
+def sketched(rows: DataFrame, known: object | None = None) -> DataFrame:
+    """(seg, n, sketch, blocks) of rows (seg, body), with ``known`` only of those that can be near a text of that map."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = WordHash()
+        for pdf in batches:
+            h, at = distinct_shingles(*flat((b.split(" ") for b in pdf["body"]), memory))
+            n = np.diff(at)
+            keep = n >= LEAST_SHINGLES
+            if known is not None and len(h):
+                place = h & np.uint64(MAP_BITS - 1)
+                held = np.concatenate(([0], np.cumsum(known.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)))).astype(np.int64)
+                keep &= (held[at[1:]] - held[at[:-1]]) * 5 >= n * 4
+            at_, mine = np.concatenate(([0], np.cumsum(n[keep]))), h[np.repeat(keep, n)]
+            s = simhash(mine, at_)
+            blocks = s.view(np.uint16).astype(np.int32) + (np.arange(TABLES, dtype=np.int32) << 16)
+            if len(s):
+                yield pd.DataFrame({"seg": list(pdf["seg"][keep]), "n": n[keep], "sketch": list(s.view(np.int64)), "blocks": list(blocks)})
+
+    return rows.select("seg", "body").mapInPandas(of, "seg binary, n int, sketch array<long>, blocks array<int>")
 
 
 def _grams(text: str) -> set:
@@ -195,50 +258,53 @@ def jaccard_column(a: str, b: str) -> Column:
     return of(a, b)
 
 
-def near(frontier: DataFrame, rest: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(seg, kind) of the segments of rest that are near one of the frontier's (seg, kind, n, prefix).
-
-    Only narrow rows (hashes) meet in the prefix shingles; texts are fetched for candidates alone.
-    """
-    probe = frontier.select(F.col("seg").alias("from_seg"), F.col("n").alias("from_n"), "kind", F.posexplode("prefix").alias("from_place", "gram"))
-    pairs = rest.select("seg", "n", F.posexplode("prefix").alias("place", "gram")).join(probe, "gram")
-    # From their first common shingle on, near segments of n and m shingles have 4 / 9 of n + m in common.
-    room = F.least(F.col("n") - F.col("place"), F.col("from_n") - F.col("from_place"))
-    pairs = pairs.where(room * 9 >= (F.col("n") + F.col("from_n")) * 4)
-    pairs = written(pairs.select("seg", "from_seg", "kind").distinct(), "residue-candidates")
-    needed = pairs.select("seg").unionByName(pairs.select(F.col("from_seg").alias("seg"))).distinct()
-    texts = distinct.select("seg", "body").join(needed, "seg", "left_semi")
-    both = pairs.join(texts, "seg").join(texts.select(F.col("seg").alias("from_seg"), F.col("body").alias("from_body")), "from_seg")
+def _band(n: str) -> Column:
+    """Lengths of near segments are of one band or of two that lie side by side."""
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(1 / SIMILARITY) + 1e-9).cast("int")
+
+
+def near(frontier: DataFrame, rest: DataFrame) -> DataFrame:
+    """(seg, kind) of the segments of rest (seg, body) that are near one of the frontier's (seg, kind, body)."""
+    spark = rest.sparkSession
+    known = spark.sparkContext.broadcast(shingle_map(frontier))  # 8 MB
+    ours = written(sketched(frontier), "residue-probes").join(frontier.select("seg", "kind"), "seg")
+    probe = ours.select(F.col("seg").alias("from_seg"), F.col("n").alias("from_n"), "kind", F.col("sketch").alias("from_sketch"), F.explode("blocks").alias("block"))
+    probe = probe.withColumn("band", F.explode(F.array(*[_band("from_n") + k for k in (-1, 0, 1)])))
+    theirs = written(sketched(rest, known), "residue-sketches")
+    tables = theirs.select("seg", "n", "sketch", F.explode("blocks").alias("block")).withColumn("band", _band("n"))
+    differ = F.aggregate(F.zip_with("sketch", "from_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    pairs = tables.join(probe, ["block", "band"]).where(differ <= HAMMING).select("seg", "from_seg", "kind").distinct()
+    texts, from_texts = rest.select("seg", "body"), frontier.select(F.col("seg").alias("from_seg"), F.col("body").alias("from_body"))
+    both = pairs.join(texts.join(theirs.select("seg"), "seg", "left_semi"), "seg").join(from_texts, "from_seg")
     return both.where(jaccard_column("body", "from_body") >= SIMILARITY).groupBy("seg").agg(F.min("kind").alias("kind"))
 
 
 def spread(segs: DataFrame) -> DataFrame:
     """(seg, kind) of all segments in a component with a trusted one, itself included."""
     distinct = distinct_segments(segs)
-    narrow = distinct.select("seg", "n", "prefix")
-    reached = written(distinct.where("trusted").select("seg", "kind"), "residue-trusted")
-    frontier = reached
+    frontier = distinct.where("trusted").select("seg", "kind", "body")
+    reached = written(frontier.select("seg", "kind"), "residue-trusted")
     while not frontier.isEmpty():
-        found = near(narrow.join(frontier, "seg"), narrow.join(reached, "seg", "left_anti"), distinct)
-        frontier = written(found, "residue-hop")
-        reached = reached.unionByName(frontier)
+        found = written(near(frontier, distinct.join(reached, "seg", "left_anti")), "residue-hop")
+        reached = reached.unionByName(found)
+        frontier = distinct.select("seg", "body").join(found, "seg").select("seg", "kind", "body")
     return written(reached, "residue-reached")
 
 
-def labelled_texts(records: DataFrame) -> DataFrame:
+def labelled_texts(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(text_key, kind): the distinct texts that hold residue."""
     texts = record_texts(records).select("text", "is_key").distinct()
-    segs = judged_segments(texts)
+    segs = judged_segments(texts, known)
     own = segs.where(F.col("kind").isNotNull()).select("text_key", "kind")
-    via = segs.where(F.col("kind").isNull() & (F.col("n_words") > 0)).join(spread(segs).withColumnRenamed("kind", "via"), "seg").select("text_key", F.col("via").alias("kind"))
-    return written(own.unionByName(via).groupBy("text_key").agg(F.min("kind").alias("kind")), "residue-texts")
+    via = segs.where(F.col("kind").isNull() & (F.col("body") != "")).join(spread(segs).withColumnRenamed("kind", "via"), "seg").select("text_key", F.col("via").alias("kind"))
+    return written(own.unionByName(via).where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.min("kind").alias("kind")), "residue-texts")
 
 
-def residue(records: DataFrame, ways: int = 8) -> DataFrame:
-    """(id, kind): records with residue and, of its kinds, the first by name.
+def residue(records: DataFrame, known: DataFrame | None = None, ways: int = 8) -> DataFrame:
+    """(id, kind): records with residue and, of its kinds, the first by name; ``known`` (text, kind) are texts that label their near copies.
 
     A text that very many records share is spread over ``ways`` tasks by the records' ids.
     """
     held = record_texts(records).select("id", _text_key().alias("text_key"), F.pmod(F.xxhash64("id"), F.lit(ways)).cast("int").alias("salt"))
-    labels = labelled_texts(records).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).withColumn("salt", F.col("salt").cast("int"))
+    labels = labelled_texts(records, known).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).withColumn("salt", F.col("salt").cast("int"))
     return held.join(labels, ["text_key", "salt"]).groupBy("id").agg(F.min("kind").alias("kind"))

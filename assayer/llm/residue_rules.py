@@ -1,9 +1,11 @@
 """What counts as template residue, filler, an error page or a notice that scripts are needed.
 
-A rule looks at decoded text (JSON strings unescaped). ``judge`` says which kind of residue a text
-holds and whether it is nothing but residue; only such texts are trusted to label others. What
-makes a placeholder is its punctuation, which near-duplicates on words do not see, so a placeholder
-alone is not trusted either.
+A rule looks at decoded text (JSON strings unescaped). Placeholders are told by their punctuation;
+error pages, notices and filler by how such texts are built, from classes of words (what fails and
+how, what is to be enabled, what stands in for content), not by whole sentences. ``Judge`` says
+which kind of residue a text holds and whether it is nothing but residue; only such texts are
+trusted to label others. What makes a placeholder is its punctuation, which near-duplicates on
+words do not see, so a placeholder alone is not trusted either.
 """
 
 from __future__ import annotations
@@ -12,73 +14,53 @@ import re
 
 from assayer.llm.canonical import WORD
 
-# Phrases that pages, forms and editors show in place of content, as words.
-SCRIPT_NOTICES = [
-    "please enable javascript to continue",
-    "please enable javascript",
-    "javascript is required to view this page",
-    "javascript is disabled in your browser",
-    "you need to enable javascript to run this app",
-    "enable js and disable any ad blocker",
-    "you need to turn on javascript to see",
-    "this site does not work without scripts",
-    "your browser has scripts turned off",
-    "we noticed that scripts are blocked in this browser",
-    "this form needs scripts to run",
-    "checking your browser before opening the form scripts must be on",
-    "noscript scripts are disabled noscript",
-    "bitte aktivieren sie javascript",
-    "请启用 javascript",
-]
-ERROR_PAGES = [
-    "400 bad request",
-    "401 unauthorized",
-    "403 forbidden",
-    "404 not found",
-    "404 page not found",
-    "500 internal server error",
-    "502 bad gateway",
-    "503 service unavailable",
-    "504 gateway timeout",
-    "gateway timeout 504",
-    "http 403 forbidden",
-    "page not found",
-    "the page you asked for does not exist",
-    "the page you requested could not be found",
-    "oops that link is broken",
-    "seite nicht gefunden",
-    "access denied",
-    "too many requests",
-    "something went wrong",
-    "session expired please sign in again",
-    "connection timed out",
-    "database connection failed",
-    "fatal error call to undefined function",
-    "traceback most recent call last",
-    "we are down for maintenance",
-    "页面不存在",
-]
-FILLERS = [
-    "lorem ipsum",
-    "placeholder text",
-    "test test 123 test",
-    "asdf asdf qwer asdf",
-    "n a n a n a n a",
-    "blah blah blah",
-    "content to follow",
-    "text text text text",
-    "type something",
-    "hier steht blindtext",
-    "this is dummy content for testing only",
-    "description coming soon",
-    "sample text goes here",
-    "xxxxx xxxx xxxxxx",
-    "your content will appear here",
-    "your text here",
-    "这里是示例文字",
-]
-#: A phrase is told of, not shown, if one of these words follows it.
-TOLD_IF_NEXT = {"access denied": ("by", "to"), "page not found": ("in", "by"), "too many requests": ("for", "from", "by"), "something went wrong": ("with", "in"), "content to follow": ("the",), "type something": ("in", "like")}
+#: A phrase is told of, not shown, if one of these follows it; "in 12" and the like are codes, as in IN-12.
+_ALONE = r"(?! (?:by|to|for|from|in|with|on|at|like|of|the) (?!\d|[a-z]*\d))(?= )"
+_SCRIPT = "(?:java ?script|ecmascript|js|scripts?|cookies)"
+_PAGE = "(?:page|site|website|link|url|file|address|document|resource)"
+
+#: Forms over words, each begun by a space. The reasons are those of HTTP.
+_FORMS = [
+    ("script_notice", [
+        rf"(?:enable|activate|allow|unblock|(?:turn|switch) on) (?:\w+ ){{0,2}}?{_SCRIPT}",
+        rf"{_SCRIPT} (?:is|are|must be|has to be|have to be|needs? to be|seems? to be|ist|sind|muss) (?:\w+ ){{0,2}}?(?:enabled|disabled|required|needed|blocked|on|off|deaktiviert|aktiviert|blockiert|erforderlich|nötig)",
+        rf"(?:requires?|needs?|without|benötigt|braucht|erfordert|ohne) {_SCRIPT}",
+        rf"{_SCRIPT} (?:turned|switched) off",
+        rf"(?:aktivieren|erlauben) sie (?:\w+ )?{_SCRIPT}",
+        r"(?:checking|verifying) your browser",
+        r"(?:disable|deactivate|turn off) (?:\w+ ){0,2}?ad ?blockers?",
+        r"[一-鿿]*(?:启用|开启|打开|允许) ?(?:javascript|js|脚本)",
+        r"(?:javascript|js|脚本) ?(?:已|被|未)(?:禁用|启用|关闭|阻止)",
+    ]),
+    ("error_page", [
+        r"(?:400 bad request|401 unauthorized|402 payment required|403 forbidden|404 (?:page )?not found|405 method not allowed|406 not acceptable|408 request time ?out|409 conflict|410 gone|413 payload too large|414 uri too long|415 unsupported media type|422 unprocessable (?:content|entity)|429 too many requests|451 unavailable for legal reasons|500 internal server error|501 not implemented|502 bad gateway|503 service unavailable|504 gateway time ?out|505 http version not supported)",
+        r"(?:internal server error|bad gateway|gateway time ?out)",
+        rf"(?:{_PAGE}|service) (?:not found|not available|temporarily unavailable)" + _ALONE,
+        r"access (?:denied|forbidden|blocked)" + _ALONE,
+        rf"{_PAGE} (?:that )?you (?:\w+ ){{1,6}}?(?:does not|doesn t|no longer|could not|couldn t|cannot|can t|was not|has been|is not|has moved)",
+        rf"{_PAGE} (?:is|seems|appears to be|may be) (?:broken|dead|gone|missing)" + _ALONE,
+        r"(?:seite|datei|adresse) (?:\w+ ){0,3}?(?:nicht (?:gefunden|erreichbar|verfügbar)|existiert nicht)",
+        r"[一-鿿]*(?:页面|网页|链接|文件)(?:不存在|未找到|找不到|无法显示|已失效)",
+        r"too many (?:requests|redirects|connections|attempts)" + _ALONE,
+        r"something went wrong" + _ALONE,
+        r"(?:an )?(?:unexpected|unknown|internal) error (?:has )?occurred",
+        r"(?:session|login|token) (?:has |is )?(?:expired|timed out)(?= (?:please|sign|log|ref|[a-z]+ \d)| $)",
+        r"(?:connection|request|operation|query) (?:has )?timed out" + _ALONE,
+        r"(?:database|server|network|proxy) (?:connection|error) (?:failed|refused|lost|reset|closed|establishing)" + _ALONE,
+        r"(?:fatal|parse|syntax|runtime|uncaught|unhandled) (?:error|exception)" + _ALONE,
+        r"(?:down|offline|closed|unavailable) for (?:\w+ )?maintenance",
+        r"traceback most recent call last",
+    ]),
+    ("filler", [
+        r"lorem ipsum",
+        r"(?:placeholder|dummy|filler|blind) ?(?:text|content|copy)(?! (?:of|in|by|was|were) (?!\d))",
+        r"(?:sample|example|your|some|more) (?:text|content|copy|title|description|message)(?: goes| will appear| will go)? here",
+        r"(?:description|content|text|details|information|image|title) (?:coming soon|to follow|to come|to be added)" + _ALONE,
+        r"(?:type|enter|write) (?:something|anything)" + _ALONE,
+        r"[一-鿿]*(?:示例|占位|测试|样本)(?:文字|文本|内容)",
+        r"(?P<sign>[xyz])(?P=sign){2,}(?: (?P=sign){3,})+",
+    ]),
+]
 
 # Words of the usual Latin filler.
 LATIN = frozenset(
@@ -87,11 +69,11 @@ LATIN = frozenset(
     dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea
     commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla
     pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim
-    id est laborum fusca tellum orbas vesti calda mirem borum
+    id est laborum
     """.split()
-) - {"in", "do", "id", "ad", "ex", "non", "sit", "et", "est", "sed"}  # words of living languages too
-#: Latin filler words in a row of which residue is made, and their share of it.
-LATIN_RUN = 6
+) - {"in", "do", "id", "ad", "ex", "non", "sit", "et", "est", "sed", "ut", "ea", "eu"}  # words of living languages too
+#: Filler is a stretch of LATIN_SPAN words of which LATIN_HELD or more are such words.
+LATIN_SPAN, LATIN_HELD = 10, 5
 
 # What unfilled templates hold.
 _NAME = r"[A-Za-z_][\w.]*"
@@ -135,33 +117,67 @@ _PLACEHOLDER = re.compile("|".join(_PLACEHOLDERS))
 _MAYBE = re.compile(r"[{}<>\[\]%@$_【]|\.{6}|\((?i:name|insert|add|replace|enter|write|your)|NaN|undefined|XXX|TBD|TODO|FIXME|xx/")
 _KEY = re.compile(r"\{\w+\}|tbd(?:_\d+)?|todo(?:_\d+)?|key_\d+", re.I)
 
-#: Forms of error pages and notices on scripts, over words; the reasons are those of HTTP.
-_FORMS = [
-    ("error_page", re.compile(r" (?:400 bad request|401 unauthorized|402 payment required|403 forbidden|404 not found|405 method not allowed|406 not acceptable|408 request time ?out|409 conflict|410 gone|413 payload too large|414 uri too long|415 unsupported media type|422 unprocessable (?:content|entity)|429 too many requests|451 unavailable for legal reasons|500 internal server error|501 not implemented|502 bad gateway|503 service unavailable|504 gateway time ?out|505 http version not supported)(?= )")),
-    ("script_notice", re.compile(r" (?:(?:this|the) (?:page|site|website|app|application|form) (?:requires|needs) (?:javascript|scripts)|(?:enable|activate|turn on) javascript|javascript (?:is (?:required|disabled|blocked|turned off)|must be (?:enabled|turned on)))(?= )")),
-]
+_COMPILED = [(kind, re.compile(" (?:" + "|".join(f"(?:{f})" for f in forms) + ")(?= )")) for kind, forms in _FORMS]
+#: What any match of a kind's forms holds; the forms are tried on the few texts with such a word.
+_HINTS = {
+    "script_notice": ["script", " js ", "cookie", "adblocker", "ad blocker", "your browser", "脚本"],
+    "error_page": [
+        "bad request", "unauthorized", "payment required", "forbidden", "not found", "not allowed", "not acceptable", "time out", "timeout", "409 conflict", "410 gone", "too large", "too long", "unsupported media", "unprocessable", "too many", "legal reasons", "server error", "not implemented",
+        "gateway", "unavailable", "not supported", "not available", "access denied", "access blocked", " you ", "is broken", "is dead", "is gone", "is missing", "seems broken", "seems dead", "seems gone", "seems missing", "to be broken", "to be dead", "to be gone", "to be missing", "be broken", "be dead", "be gone", "be missing",
+        "nicht gefunden", "nicht erreichbar", "nicht verfügbar", "existiert nicht", "页面", "网页", "链接", "文件", "went wrong", "error", "expired", "timed out", "connection", "exception", " for maintenance", "maintenance ", "traceback",
+    ],
+    "filler": ["lorem", "placeholder", "dummy", "filler", "blind", " here ", "coming soon", "to follow", "to come", "to be added", "something", "anything", "文字", "文本", "内容", "xxxx", "yyyy", "zzzz"],
+    "keys": sorted({row[i : i + 4] for row in ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm") for i in range(len(row) - 3)} - {"wert"}),
+}
 
 
 def _automaton() -> object:
     import ahocorasick
 
-    a = ahocorasick.Automaton()
-    for kind, phrases in (("script_notice", SCRIPT_NOTICES), ("error_page", ERROR_PAGES), ("filler", FILLERS)):
-        for p in phrases:
-            spaced = p if any("一" <= c <= "鿿" for c in p) else f" {p} "
-            a.add_word(spaced, (kind, p))
+    a, kinds = ahocorasick.Automaton(), {}
+    for kind, hints in _HINTS.items():
+        for h in hints:
+            kinds.setdefault(h, []).append(kind)
+    for h, ks in kinds.items():
+        a.add_word(h, tuple(ks))
     a.make_automaton()
     return a
 
 
+_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm")
+
+
+def repeated(words: list[str]) -> set[int]:
+    """Places in runs that say nothing: one word thrice (a number may stand between), or two words in turn, thrice."""
+    hit: set[int] = set()
+    if not any(a == c for a, c in zip(words, words[2:], strict=False)):
+        return hit
+    at = [i for i, w in enumerate(words) if not w.isdigit() and not "一" <= w[0] <= "鿿"]
+    w = [words[i] for i in at]
+    for k in range(len(w) - 2):
+        if w[k] == w[k + 2] and at[k + 2] - at[k] < 4 and (w[k] == w[k + 1] or w[k : k + 2] * 2 == w[k + 2 : k + 6]):
+            hit.update(range(at[k], at[k + 2] + 1))
+    return hit
+
+
+def neighbouring(words: list[str]) -> set[int]:
+    """Places of words typed along a row of keys, if two stand close together."""
+    keys = [i for i, x in enumerate(words) if len(x) >= 4 and x != "wert" and any(x in row for row in _ROWS)]
+    return {k for i, j in zip(keys, keys[1:], strict=False) if j - i < 4 for k in range(i, j + 1)}
+
+
+#: The share of a text's words in residue from which on a text is trusted; above 0.2, so that a text near it at 0.8 holds some.
+TRUST = 0.3
+
+
 class Judge:
-    """Holds the automaton, built once per worker."""
+    """(kind of residue or None, whether so much of it is residue that it is trusted) of a text; built once per worker."""
 
-    def __init__(self) -> None:
-        self.phrases = _automaton()
+    def __init__(self, forms: list[tuple[str, re.Pattern]] | None = None) -> None:
+        self.forms = _COMPILED if forms is None else forms
+        self.hints = _automaton()
 
     def __call__(self, text: str, words: list[str] | None = None) -> tuple[str | None, bool]:
-        """(kind of residue or None, whether the text is residue only)."""
         words = WORD.findall(text.casefold()) if words is None else words
         kind, spoiled = None, 0
         if _MAYBE.search(text):
@@ -171,25 +187,30 @@ class Judge:
                 if not WORD.search(rest):
                     return kind, False
         joined = f" {' '.join(words)} "
-        for end, (found, phrase) in self.phrases.iter(joined):
-            if phrase in TOLD_IF_NEXT:
-                after = joined[end + 1 :].split(" ", 2)
-                if after[0] in TOLD_IF_NEXT[phrase] and not after[1][:1].isdigit():  # "in 12" is a code, as IN-12
-                    continue
-            kind = found
-            spoiled = max(spoiled, phrase.count(" ") + 1)
-        for found, form in _FORMS:
-            if (m := form.search(joined)) is not None:
-                kind = kind if kind not in (None, "placeholder") else found
-                spoiled = max(spoiled, m[0].count(" "))
-        if sum(w in LATIN for w in words) >= LATIN_RUN:
-            run = best = 0
-            for w in words:
-                run = run + 1 if w in LATIN or (run and w in ("sit", "sed", "in", "et", "do", "ad", "ex", "id", "non", "est")) else 0
-                best = max(best, run)
-            if best >= LATIN_RUN:
-                kind, spoiled = kind or "filler", max(spoiled, best)
-        return kind, kind not in (None, "placeholder") and spoiled >= 0.8 * len(words)
+        hinted = {k for _, ks in self.hints.iter(joined) for k in ks}
+        if hinted:
+            for found, form in self.forms:
+                if found in hinted and (said := sum(m[0].count(" ") for m in form.finditer(joined))):
+                    kind = found if kind in (None, "placeholder") else kind
+                    spoiled += said
+        idle = repeated(words)
+        if "keys" in hinted:
+            idle |= neighbouring(words)
+        if n := len(idle) or _latin(words):
+            kind, spoiled = "filler" if kind in (None, "placeholder") else kind, spoiled + n
+        if kind in (None, "placeholder"):
+            return kind, False
+        return kind, spoiled >= TRUST * sum(not any(c.isdigit() for c in w) for w in words)  # codes and references are no content
+
+
+def _latin(words: list[str]) -> int:
+    if LATIN.isdisjoint(words):
+        return 0
+    at = [i for i, w in enumerate(words) if w in LATIN]
+    for k in range(len(at) - LATIN_HELD + 1):
+        if at[k + LATIN_HELD - 1] - at[k] < LATIN_SPAN:
+            return at[-1] - at[k] + 1
+    return 0
 
 
 def key_is_residue(key: str) -> bool:

@@ -46,6 +46,7 @@ def test_keys():
 def test_placeholders_are_not_trusted():
     assert JUDGE("{desk}") == ("placeholder", False)
     assert JUDGE("Something went wrong")[1] and not JUDGE("Case closed on Monday by all of the desks. Something went wrong")[1]
+    assert JUDGE("Something went wrong (KF-419967)")[1] and JUDGE("Database connection failed ref 4cea6bdbc489")[1]
 
 
 def test_segments():
@@ -56,14 +57,32 @@ def test_segments():
 
 def test_simhash_is_near_for_near_texts():
     a = "we are sorry but the page that you were looking for has moved to another place on this site so please try again later today".split()
-    words, starts = flat([a, a[:-1] + ["tomorrow"], a[::-1], []], WordHash())
-    s = residue.simhash(words, starts)
-    bits = [bin(int(s[0]) ^ int(x)).count("1") for x in s]
-    assert bits[0] == 0 and bits[1] < bits[2]
-    assert np.array_equal(s, residue.simhash(*flat([a, a[:-1] + ["tomorrow"], a[::-1], []], WordHash())))
+    texts = [a, a[:-1] + ["tomorrow"], a[::-1], []]
+    sketch = lambda ts: residue.simhash(*residue.distinct_shingles(*flat(ts, WordHash())))
+    s = sketch(texts)
+    bits = [int(np.unpackbits(s[0] ^ x).sum()) for x in s]
+    assert bits[0] == 0 and bits[1] <= residue.HAMMING < bits[2]
+    assert all(np.array_equal(sketch([t])[0], x) for t, x in zip(texts, s, strict=True))
     assert residue.similarity(" ".join(a), " ".join(a)) == 1.0
 
 
+@pytest.mark.parametrize("size", [8, 9, 12, 20, 30, 100, 400])
+def test_recall_of_the_tables(size):
+    """Pairs with Jaccard 0.8 to 0.9, the hard ones: nine tenths at least agree in a block and lie within the radius."""
+    rng, pairs = random.Random(size), []
+    while len(pairs) < 200:
+        a = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        b = list(a)
+        for _ in range(rng.randrange(1, 2 + size // 25)):
+            i = rng.choice([0, len(b) - 1, rng.randrange(len(b))])
+            b[i : i + rng.randrange(2)] = [f"x{rng.randrange(5000)}"][: rng.randrange(2)]
+        if residue.SIMILARITY <= residue.similarity(" ".join(a), " ".join(b)) <= (0.9 if size > 12 else 0.999):
+            pairs.append((a, b))
+    x, y = (residue.simhash(*residue.distinct_shingles(*flat(side, WordHash()))) for side in zip(*pairs, strict=True))
+    meet = (x.view(np.uint16) == y.view(np.uint16)).any(axis=1) & (np.unpackbits(x ^ y, axis=1).sum(axis=1) <= residue.HAMMING)
+    assert meet.mean() >= 0.9
+
+
 OPTION = "array<struct<label:string,key:string,description:string>>"
 
 
@@ -86,31 +105,35 @@ def test_records(spark):
     assert {r["id"] for r in residue.residue(df).collect()} == {"ph", "opt", "err", "near", "q", "long", "page"}
 
 
+SEGMENTS = "text_key binary, seg binary, kind string, trusted boolean, body string, n_words int"
+
+
+def segments_of(spark, texts, trusted):
+    return spark.createDataFrame([(t.encode(), t.encode(), "error_page" if t in trusted else None, t in trusted, t, len(t.split())) for t in texts], SEGMENTS)
+
+
 def test_labels_spread_to_near_copies_only(spark):
     """A trusted text labels its near copies, hop by hop; a text sharing little stays."""
-    base = [f"w{i}" for i in range(400)]
-    texts = {"t": base, "n1": base[:-1] + ["x1"], "n2": base[:-2] + ["x2", "x1"], "far": [f"v{i}" for i in range(400)]}
-    words, starts = flat(texts.values(), WordHash())
-    sims = residue.simhash(words, starts).view(np.int64)
-    rows = [(k.encode() * 2, bytes([i]), int(s), len(w), "error_page" if k == "t" else None, k == "t", " ".join(w)) for i, ((k, w), s) in enumerate(zip(texts.items(), sims, strict=True))]
-    segs = spark.createDataFrame(rows, "text_key binary, seg binary, sim long, n_words int, kind string, trusted boolean, body string")
-    reached = {bytes(r["seg"]) for r in residue.spread(segs).collect()}
-    assert bytes([0]) in reached and bytes([3]) not in reached
-    assert bytes([1]) in reached or bin(int(sims[0]) ^ int(sims[1])).count("1") > residue.HAMMING
-
-
-def test_every_near_copy_is_reached(spark):
-    """Against brute force: texts of many lengths with words replaced, Jaccard down to 0.8; chains of them; texts just below."""
+    base = [f"w{i}" for i in range(60)]
+    chain = [" ".join([*base[k:], *(f"x{i}" for i in range(k))]) for k in range(0, 40, 4)]
+    far = " ".join([*base[:20], *(f"v{i}" for i in range(40))])
+    reached = {bytes(r["seg"]).decode() for r in residue.spread(segments_of(spark, [*chain, far], {chain[0]})).collect()}
+    assert residue.similarity(chain[0], chain[2]) < residue.SIMILARITY
+    assert reached == set(chain)
+
+
+def test_spread_against_brute_force(spark):
+    """Texts of many lengths with words replaced, Jaccard down to 0.8; chains of them; texts just below."""
     rng = random.Random(5)
-    texts, trusted = [], []
+    texts, trusted = [], set()
     for size in (3, 5, 9, 20, 40, 80, 200):
         for _ in range(12):
-            base = [f"w{rng.randrange(5000)}" for _ in range(size)]
-            trusted.append(" ".join(base))
+            base = [f"w{rng.choice('abcdefgh')}{'x' * rng.randrange(9)}{rng.choice('ijklmnop')}{'y' * rng.randrange(9)}" for _ in range(size)]
+            trusted.add(" ".join(base))
             for edits in (1, 1, 2, 2, 3, 4, 6):
                 copy = list(base)
                 for _ in range(edits):
-                    copy[rng.randrange(size)] = f"x{rng.randrange(5000)}"
+                    copy[rng.randrange(size)] = f"z{rng.choice('abcdefgh')}{'x' * rng.randrange(99)}"
                 texts.append(" ".join(copy))
             copy[0:1] = ["x", "y"]
             texts.append(" ".join(copy))  # near the last copy, perhaps not near the base
@@ -121,10 +144,20 @@ def test_every_near_copy_is_reached(spark):
         fresh = {b for a in fresh for b in near[a]} - expected
         expected |= fresh
     assert len(trusted) + 100 < len(expected) < len(near)
-    sims = residue.simhash(*flat([t.split() for t in near], WordHash())).view(np.int64)
-    rows = [(t.encode(), int(x), len(t.split()), "error_page" if t in set(trusted) else None, t in set(trusted), t) for t, x in zip(near, sims, strict=True)]
-    segs = spark.createDataFrame(rows, "seg binary, sim long, n_words int, kind string, trusted boolean, body string").withColumn("text_key", F.col("seg"))
-    assert {bytes(r["seg"]).decode() for r in residue.spread(segs).collect()} == expected
+    reached = {bytes(r["seg"]).decode() for r in residue.spread(segments_of(spark, near, trusted)).collect()}
+    assert reached <= expected and len(reached - trusted) >= 0.95 * len(expected - trusted)
+
+
+def test_records_found_by_the_spread_alone(spark):
+    """No rule sees the copies of a known text; their component does, hop by hop, codes aside. An ordinary text stays."""
+    page = "dear visitor our archive rests tonight while technicians replace the old shelves so kindly return tomorrow after breakfast and bring your patience along with this number"
+    copies = [f"{page} AB-12", page.replace("dear visitor", "dear guest"), page.replace("dear visitor", "dear guest").replace("this number", "that number 99")]
+    assert all(JUDGE(x)[0] is None for x in (page, *copies))
+    rows = [(f"c{i}", None, x if i else f"Note: {x}\nFrom: me", None) for i, x in enumerate(copies)] + [("ok", None, "the archive rests tonight while technicians replace the old shelves", None)]
+    df = spark.createDataFrame(rows, f"id string, state string, question string, options {OPTION}")
+    known = spark.createDataFrame([(page, "error_page"), (None, "filler")], "text string, kind string")
+    assert {(r["id"], r["kind"]) for r in residue.residue(df, known).collect()} == {("c0", "error_page"), ("c1", "error_page"), ("c2", "error_page")}
+    assert residue.residue(df).count() == 0
 
 
 def test_empty(spark):
