@@ -24,9 +24,18 @@ def long_form(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
     return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+#: The group that all rows belong to besides their own.
+WHOLE = "*"
+
+
 def tails(rows: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
-    """(group, stat, value, n, low, high): the shares of the group's rows at most and at least as large."""
+    """(group, stat, value, n, low, high): mid-ranks, the shares of the group's rows below and above a value, equal ones counting half.
+
+    The group WHOLE holds the ranks among all rows.
+    """
     counts = long_form(rows, [group], columns).groupBy(group, "stat", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "ranks-counts")
+    counts = counts.unionByName(counts.groupBy("stat", "value").agg(F.sum("n").alias("n")).select(F.lit(WHOLE).alias(group), "stat", "value", "n"))
     kind = rows.schema[group].dataType.simpleString()
     order = ["stat", group, "value"]
 
@@ -49,4 +58,5 @@ def tails(rows: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     offsets = per.select("part", group, "stat", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"), F.sum("held").over(whole).alias("total"))
     upto = F.col("local") + F.col("offset")
     found = local.join(F.broadcast(offsets), ["part", group, "stat"])  # at most partitions x groups x statistics
-    return found.select(group, "stat", "value", "n", (upto / F.col("total")).alias("low"), ((F.col("total") - upto + F.col("n")) / F.col("total")).alias("high"))
+    below = (upto - F.col("n") / 2) / F.col("total")
+    return found.select(group, "stat", "value", "n", below.alias("low"), (1 - below).alias("high"))

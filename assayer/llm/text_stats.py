@@ -24,29 +24,41 @@ COMMON = {
         his they one you were her all she there would their we him been has when who will no more if out so
         what up its about into than them can only other some could these two may then do first any my now
         such like our over me even most after also many before must each every neither nor under between
-        second where while until since because although unless whenever nobody known please does still
-        said near counts needs holds days""".split()
+        where while until since because although unless whenever nobody please does still near""".split()
     ),
     "de": frozenset(
         """der die das und in zu den nicht von sie ist des sich mit dem dass er es ein ich auf so eine auch
         als an nach wie im für man aber aus durch wenn nur war noch werden bei hat wir was wird sein einen
         welche sind oder zur um haben einer mir über ihm diese einem ihr uns da zum kann doch vor dieser
         mich ihn du hatte seine mehr am denn nun unter sehr selbst schon hier bis habe ihre dann ihnen seiner
-        alle wieder meine zeit gegen vom ganz einzelnen wo muss ohne eines können sei niemand weil obwohl
-        ende wochen tag braucht""".split()
+        alle wieder meine gegen vom ganz einzelnen wo muss ohne eines können sei niemand weil obwohl""".split()
     ),
+    "fr": frozenset("le la les de des du et est un une dans que qui pour pas sur au aux ce cette avec il elle nous vous ils ne se par plus mais ou où son sa ses leur été être sont même comme".split()),
+    "es": frozenset("el la los las de del y es un una en que por para no con se su sus al lo como más pero o ha son este esta fue ser está entre cuando muy sin sobre también me ya hay".split()),
+    "it": frozenset("il lo la i gli le di del della e è un una in che per non con si suo sua al come più ma o ha sono questo questa fu essere tra quando molto senza anche nel alla dei".split()),
+    "pt": frozenset("o a os as de do da dos das e é um uma em que por para não com se seu sua ao como mais mas ou foi são este esta ser entre quando muito sem também no na pelo".split()),
+    "nl": frozenset("de het een en van in is dat op te zijn met voor niet aan er om ook als maar bij nog uit door naar heeft hij zij ze wij je dit die kan meer werd worden over".split()),
     "zh": frozenset("的一是不了在人有我他这中大来上个到说们为子和你地出也时年得就那要下以生会自着去之过家学对可里后小么心多天而能好都然没日于起还发成只如事把还用第样道想作种开从本但虽由否需有其与或被条款据"),
-}
+}
+#: Languages told by their script alone: the range of its letters.
+SCRIPTS = {"ru": "Ѐ-ӿ", "el": "Ͱ-Ͽ", "he": "֐-׿", "ar": "؀-ۿ", "hi": "ऀ-ॿ", "th": "฀-๿", "ja": "぀-ヿ", "ko": "가-힯"}
+_SPOKEN: dict[str, list[str]] = {}
+for _l, _ws in COMMON.items():
+    if _l != "zh":
+        for _w in _ws:
+            _SPOKEN.setdefault(_w, []).append(_l)
+_ALL_COMMON = frozenset(_SPOKEN)
+_SCRIPT = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
 _WORD = re.compile(r"[^\W_]+")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _BROKEN = re.compile(r"�|ï¿½|â€.?|Ã.|Â")
 _BREAK = re.compile(r"\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]")
 _MARKER = re.compile(r"\s*(?:[-*•·▪◦–—+]|\[[ xX]?\]|\(?\d{1,4}[.)、]|#\d+|\(?[a-zA-Z][.)])\s*(?=\S)")
 _END = re.compile(r"[.!?…。！？][\"”’')\]」』»“]*(?=\s|$)|[。！？]")
 _LINE_END = re.compile(r"[.!?…:;。！？：；][\"”’')\]」』»“]*\s*$")
 _BORDER = re.compile(r"[\s+|:=_-]{3,}")
-_CSV = re.compile(r"(?:\"[^\"]*\"|[^\s,;\"][^,;\"]{0,60}|)(?:([,;])(?:\"[^\"]*\"|[^\s,;\"][^,;\"]{0,60}|)){1,}")
+_CSV = re.compile(r"(?:\"[^\"]*\"|[^\s,;\"][^,;\"]*|)(?:([,;])(?:\"[^\"]*\"|[^\s,;\"][^,;\"]*|)){1,}")
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
 SHORT, SHORT_HAN = 64, 32
 #: A sentence mark is due every so many words.
@@ -74,12 +86,30 @@ for _i in [*range(ord("a"), ord("z") + 1), *map(ord, "äöüßáéíóúàèìò
     _LATIN[_i] = True
 
 
-def language(words: list[str], n_han: int, n_letters: int) -> str:
-    """zh by signs, else de or en by common words; und without any hint."""
+def language(text: str, words: list[str], n_han: int, n_letters: int, latin: int) -> str:
+    """By script where that tells, else by common words; und without any hint."""
+    if latin * 2 < n_letters:
+        for name, sign in _SCRIPT.items():
+            if len(sign.findall(text)) > 0.3 * n_letters:
+                return name
     if n_han > 0.3 * max(1, n_letters):
         return "zh"
-    de, en = sum(w in COMMON["de"] for w in words), sum(w in COMMON["en"] for w in words)
-    return "und" if not de and not en else "de" if de > en else "en"
+    counts: dict[str, int] = {}
+    shared: dict[str, int] = {}
+    for w in words:
+        if w in _ALL_COMMON:
+            names = _SPOKEN[w]
+            if len(names) == 1:
+                counts[names[0]] = counts.get(names[0], 0) + 1
+            elif names[0] in _FIRST:
+                shared[names[0]] = shared.get(names[0], 0) + 1
+    # Short words of other languages turn up as names and codes; two languages are told by any hint.
+    counts = {k: n for k, n in counts.items() if k in _FIRST or n >= 3 and n * 20 >= len(words)} or shared
+    return min(counts, key=lambda k: (-counts[k], _ORDER[k])) if counts else "und"
+
+
+_FIRST = ("en", "de")
+_ORDER = {k: i for i, k in enumerate(COMMON)}
 
 
 def _is_row(line: str) -> bool:
@@ -162,14 +192,14 @@ def measure(text: str) -> tuple[str, dict[str, float]]:
     folded = text.casefold()
     words = _WORD.findall(folded)
     n_han = len(_HAN.findall(text))
-    lang = language(words, n_han, int(kinds[3]))
+    fold_points = np.minimum(np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+    latin = int(_LATIN[fold_points].sum())
+    lang = language(text, words, n_han, int(kinds[3]), latin)
     if n_han:
         words = [y for w in words for y in (_HAN.sub(lambda m: f" {m[0]} ", w).split() if _HAN.search(w) else [w])]
     n = len(words)
     lengths = np.array([len(w) for w in words] or [0])
-    common = COMMON["en"] | COMMON["de"] if lang == "und" else COMMON[lang]
-    fold_points = np.minimum(np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
-    latin = int(_LATIN[fold_points].sum())
+    common = _ALL_COMMON if lang == "und" else COMMON.get(lang, frozenset())
     windows = [words[i : i + WINDOW] for i in range(0, n, WINDOW)]
     if len(windows) > 1 and len(windows[-1]) < WINDOW:
         windows.pop()
@@ -195,28 +225,54 @@ def measure(text: str) -> tuple[str, dict[str, float]]:
     }
 
 
-def junk(s: dict[str, float], lang: str) -> bool:
-    """Neither sentences nor meaningful entries."""
-    if s["tag_ratio"] > 0.5 or s["broken_ratio"] > 0.08 or s["symbol_ratio"] > 0.35 and s["cell_share"] <= 0.5:
-        return True
+#: Signs of junk: statistic, sign (1: high), from where on it is possible, from where on it is certain,
+#: and what must hold besides (words at least; in Latin script only). Between the two the outlier score decides.
+SIGNS = (
+    ("tag_ratio", 1, 0.5, 0.8, 0, False),
+    ("broken_ratio", 1, 0.08, 0.3, 0, False),
+    ("symbol_ratio", 1, 0.35, 0.48, 0, False),
+    ("distinct_ratio", -1, 0.42, 0.06, 15, True),
+    ("vowel_ratio", -1, 0.3, 0.05, 1, True),
+    ("common_ratio", 1, 0.8, 0.99, 15, True),
+    ("digit_ratio", 1, 0.8, 0.98, 8, False),
+    ("mean_word", 1, 18.0, 30.0, 1, True),
+)
+#: Statistics whose tail in the given direction speaks for junk (0: either).
+DIRECTIONS = {"symbol_ratio": 1, "digit_ratio": 1, "broken_ratio": 1, "tag_ratio": 1, "vowel_ratio": -1, "distinct_ratio": -1, "longest_word": 1, "mean_word": 1, "sentence_share": -1, "line_end_ratio": -1, "common_ratio": 0}
+#: A text with a possible sign is junk if its outlier score over DIRECTIONS is as high as this.
+OUTLIER = 11.0
+
+
+def signs(s: dict[str, float], lang: str) -> tuple[bool, bool]:
+    """(whether junk is possible, whether it is certain) by a text's own statistics."""
     if s["n_words"] == 0:
-        return s["symbol_ratio"] > 0
-    if s["distinct_ratio"] < 0.42 and s["n_words"] >= 15 and lang != "zh" and s["cell_share"] <= 0.5:
-        return True
-    if lang != "zh" and s["vowel_ratio"] < 0.3 and s["vowel_ratio"] > 0 and s["digit_ratio"] < 0.5 and s["n_words"] * s["mean_word"] >= 40 and s["cell_share"] <= 0.5:
-        return True
-    if s["common_ratio"] > 0.8 and s["n_words"] >= 15 and lang != "zh":
-        return True
-    if s["digit_ratio"] > 0.8 and s["cell_share"] <= 0.5 and s["n_words"] >= 8:
-        return True
-    return s["mean_word"] > 18 and lang != "zh" and s["n_words"] * s["mean_word"] >= 60
+        return s["symbol_ratio"] > 0, s["symbol_ratio"] > 0
+    possible = False
+    for name, sign, loose, strict, words, latin in SIGNS:
+        v = s[name]
+        if s["n_words"] < words or latin and lang in _NO_WORDS or sign * v <= sign * loose:
+            continue
+        if s["cell_share"] > 0.5 and name in _OF_TABLES_TOO or name == "vowel_ratio" and (not v or s["digit_ratio"] >= 0.5 or s["n_words"] * s["mean_word"] < 40) or name == "mean_word" and s["n_words"] * v < 60:
+            continue
+        possible = True
+        if sign * v > sign * strict:
+            return True, True
+    return possible, False
 
 
-def shape(s: dict[str, float], lang: str) -> str:
-    if junk(s, lang):
-        return "junk"
+#: Signs that a table may show as well.
+_OF_TABLES_TOO = frozenset(["symbol_ratio", "distinct_ratio", "vowel_ratio", "digit_ratio"])
+_NO_WORDS = frozenset(["zh", *SCRIPTS])
+
+
+def structure(s: dict[str, float]) -> str:
+    """What a text is if it is not junk."""
     if s["cell_share"] > 0.5:
         return "table"
-    if s["entry_share"] > 0.5 and s["n_lines"] >= 3:
-        return "list"
-    return "prose"
+    return "list" if s["entry_share"] > 0.5 and s["n_lines"] >= 3 else "prose"
+
+
+def shape(s: dict[str, float], lang: str, outlier: float | None = None) -> str:
+    """The shape by the statistics, and by the outlier score where these leave it open; without a score, not junk then."""
+    possible, certain = signs(s, lang)
+    return "junk" if certain or possible and outlier is not None and outlier >= OUTLIER else structure(s)
