@@ -1,19 +1,19 @@
 """Per-document text statistics, outlier scores from exact ranks, and the shape of each text.
 
 ``statistics`` reads every text once. ``scored`` ranks each statistic exactly within its language
-(see ``ranks``; a text of unknown language is ranked among all) and combines the empirical tail
+and among all texts (see ``ranks``) and combines the empirical tail
 probabilities: the sum of -ln of the tail that speaks for junk, over the statistics. ``shaped``
 decides: structure tells tables, lists and prose; a text with a sign of junk that is beyond doubt
 is junk; one with a possible sign is junk if its outlier score says that it stands out among the
-texts of its language.
+texts of its language or among all.
 
 Ranks are over distinct texts, equal values in the middle of their places, so that copies change
 neither their own score nor others': a text fetched a million times is one text.
 
 Defined results: a null text has no statistics and no row; an empty text or one without words has
 the statistics 0, no language and, unless it holds symbols, the shape prose; a null or repeated id
-is a row like any other; a text that is alone in its language has middling ranks, hence no score
-to be junk by, and is so only by a certain sign; the stored language and length are not trusted
+is a row like any other; a text that is alone in its language has middling ranks there and is
+told by those among all; a text that is alone is junk by a certain sign only; the stored language and length are not trusted
 and not used; extra columns are ignored.
 """
 
@@ -64,21 +64,25 @@ def _tail(stat: Column) -> Column:
 
 
 def scored(stats: DataFrame, wanted: DataFrame | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(text_key, outlier, tail) of the distinct texts of ``wanted``, all by default: the score and the smallest tail probability."""
+    """(text_key, outlier, tail) of the distinct texts of ``wanted``, all by default: the score and the smallest tail probability.
+
+    The greater score of two: within the language, and among all texts (a language may hold little but junk).
+    """
     texts = written(stats.select("text_key", "language", *DIRECTIONS).dropDuplicates(["text_key"]), "quality-texts")
     ranks = written(tails(texts, "language", [*DIRECTIONS]), "quality-ranks")
     mine = texts if wanted is None else texts.join(wanted.select("text_key").distinct(), "text_key", "left_semi")
-    group = F.when(F.col("language") == _UNKNOWN, WHOLE).otherwise(F.col("language")).alias("language")
-    numbered = long_form(mine.select("text_key", group, *DIRECTIONS), ["text_key", "language"], [*DIRECTIONS])
+    groups = F.explode(F.array_except(F.array("language", F.lit(WHOLE)), F.array(F.lit(_UNKNOWN)))).alias("language")
+    numbered = long_form(mine.select("text_key", groups, *DIRECTIONS), ["text_key", "language"], [*DIRECTIONS])
     key = ["language", "stat", "value"]
     if ranks.count() <= most_broadcast:  # ratios have at most 10,001 values per language, lengths as many as there are
         found = numbered.join(F.broadcast(ranks), key)
     else:  # some values, as a ratio of 0, are those of most texts
         name = F.concat_ws("\x1f", "language", "stat", F.col("value").cast("string"))
-        total = ranks.where(F.col("language") == WHOLE).agg(F.sum("n")).first()[0]
+        total = 2 * ranks.where(F.col("language") == WHOLE).agg(F.sum("n")).first()[0]
         found = join_by_counted_key(numbered.withColumn("rank_key", name), ranks.withColumn("rank_key", name).drop(*key), "rank_key", "n", total)
-    tail = found.select("text_key", _tail(F.col("stat")).alias("tail"))
-    return tail.groupBy("text_key").agg(F.round(F.sum(-F.log("tail")), 6).alias("outlier"), F.round(F.min("tail"), 9).alias("tail"))
+    tail = found.select("text_key", "language", _tail(F.col("stat")).alias("tail"))
+    per = tail.groupBy("text_key", "language").agg(F.round(F.sum(-F.log("tail")), 6).alias("outlier"), F.round(F.min("tail"), 9).alias("tail"))
+    return per.groupBy("text_key").agg(F.max("outlier").alias("outlier"), F.min("tail").alias("tail"))
 
 
 def shaped(documents: DataFrame) -> DataFrame:

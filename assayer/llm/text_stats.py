@@ -45,7 +45,7 @@ SCRIPTS = {"ru": "Ѐ-ӿ", "el": "Ͱ-Ͽ", "he": "֐-׿", "ar": "؀-ۿ", "hi": "
 _SPOKEN: dict[str, list[str]] = {}
 for _l, _ws in COMMON.items():
     if _l != "zh":
-        for _w in _ws:
+        for _w in (w for w in _ws if len(w) > 1 or _l in ("en", "de")):  # single letters are codes more often than words
             _SPOKEN.setdefault(_w, []).append(_l)
 _ALL_COMMON = frozenset(_SPOKEN)
 _SCRIPT = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
