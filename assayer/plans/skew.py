@@ -24,5 +24,21 @@ def join_by_counted_key(rows: DataFrame, keyed: DataFrame, key: str, count: str,
     return rows.join(F.broadcast(heavy), key).unionByName(rows.join(marks, key, "left_anti").join(light, key))
 
 
+def expand(links: DataFrame, members: DataFrame, key: str, least: int = 5_000) -> DataFrame:
+    """Inner join of links with the members of their keys, where either may repeat a key and one key may hold most members.
+
+    A key with a share of HEAVY_SHARE of all members or more (at most 2,000 keys, which are broadcast)
+    is cut into parts of about that share by a hash of the member, and its links are repeated for each part.
+    """
+    total = members.count()
+    floor = max(least, int(total * HEAVY_SHARE))
+    heavy = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > floor)
+    parts = F.broadcast(heavy.select(key, F.ceil(F.col("__n") / floor).cast("int").alias("__parts")))
+    rest = [c for c in members.columns if c != key]
+    cut = members.join(parts, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    told = links.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return told.join(cut, [key, "__part"]).drop("__part")
+
+
 def salted(column: str | Column, ways: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(ways))
