@@ -1,7 +1,8 @@
 """Messages delivered more than once: exactly one copy of each identifier.
 
 The frequency of every identifier is aggregated first (partial counts before the shuffle, so a hot
-identifier costs a few rows). Identifiers with one row pass directly and are never sorted. Only the
+identifier costs a few rows), and those of repeated ones are written once to the shared folder, from
+where both branches read them. Identifiers with one row pass directly and are never sorted. Only the
 rows of repeated identifiers are ranked, by ``row_number() = 1``, which Spark also applies before
 the shuffle (WindowGroupLimit): each map task sends one row per identifier on, however many copies
 it holds. Both results are united.
@@ -15,10 +16,12 @@ extra columns pass, also one called like a helper column, since helpers bear res
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.plans.lineage import written
 from assayer.plans.skew import HEAVY_SHARE
 
 _N = "__copies__"
@@ -36,31 +39,49 @@ def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(_N)).where(F.col(_N) > 1)
 
 
-def _heavy_and_light(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Repeated identifiers above and below a share of HEAVY_SHARE of all rows; at most 1 / HEAVY_SHARE are above."""
-    floor = max(2, int(rows.count() * HEAVY_SHARE))
-    counts = repeated_keys(rows, key)
-    return counts.where(F.col(_N) >= floor).select(key), counts.where(F.col(_N) < floor).select(key)
+@dataclass(frozen=True)
+class Frequencies:
+    """Repeated identifiers with their copies, written, and from how many copies on one is heavy."""
 
+    repeated: DataFrame
+    floor: int
 
-def best_of_repeated(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    @property
+    def heavy(self) -> DataFrame:
+        """A share of HEAVY_SHARE of the repeated rows or more: at most 1 / HEAVY_SHARE identifiers."""
+        return self.repeated.where(F.col(_N) >= self.floor).drop(_N)
+
+    @property
+    def light(self) -> DataFrame:
+        return self.repeated.where(F.col(_N) < self.floor).drop(_N)
+
+
+def frequencies(rows: DataFrame, key: str) -> Frequencies:
+    counts = written(repeated_keys(rows, key), "repeated-keys")
+    total = counts.agg(F.sum(_N)).first()[0] or 0
+    return Frequencies(counts, max(2, int(total * HEAVY_SHARE)))
+
+
+def best_of_repeated(rows: DataFrame, key: str, order: Sequence[Column], counts: Frequencies | None = None) -> DataFrame:
     """One row for each identifier that has two or more: the first in ``order``.
 
     Rows of heavy identifiers are picked out by a broadcast of those few and never shuffled whole.
     """
-    heavy, light = _heavy_and_light(rows, key)
-    mine = rows.join(F.broadcast(heavy), key, "left_semi").unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(light, key, "left_semi"))
+    counts = counts or frequencies(rows, key)
+    heavy = F.broadcast(counts.heavy)
+    mine = rows.join(heavy, key, "left_semi").unionByName(rows.join(heavy, key, "left_anti").join(counts.light, key, "left_semi"))
     ranked = mine.withColumn(_RANK, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.where(F.col(_RANK) == 1).drop(_RANK)
 
 
-def singletons(rows: DataFrame, key: str) -> DataFrame:
+def singletons(rows: DataFrame, key: str, counts: Frequencies | None = None) -> DataFrame:
     """Rows whose identifier occurs once, and those without an identifier."""
-    heavy, light = _heavy_and_light(rows, key)
-    return rows.join(F.broadcast(heavy), key, "left_anti").join(light, key, "left_anti")
+    counts = counts or frequencies(rows, key)
+    return rows.join(F.broadcast(counts.heavy), key, "left_anti").join(counts.light, key, "left_anti")
 
 
 def exactly_once(stored: DataFrame, key: str, order: Sequence[Column], arrived: DataFrame | None = None) -> DataFrame:
     """One row per identifier over all stored and newly arrived messages."""
     rows = stored if arrived is None else stored.unionByName(arrived)
-    return singletons(rows, key).unionByName(best_of_repeated(rows, key, order).select(*rows.columns))
+    counts = frequencies(rows, key)
+    return singletons(rows, key, counts).unionByName(best_of_repeated(rows, key, order, counts).select(*rows.columns))

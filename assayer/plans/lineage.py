@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     chosen = sc._jsc.sc().getCheckpointDir()
     if chosen.isDefined():
         return chosen.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     made = tempfile.mkdtemp(prefix="assayer-")
     sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -74,3 +76,25 @@ def folders(spark: SparkSession, path: str, name: str) -> set[int]:
     p, system = _path_and_system(spark, path)
     names = [x.getPath().getName() for x in system.listStatus(p)]
     return {int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}=")}
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in the shared folder, in whole or not at all."""
+    p, system = _path_and_system(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    out = system.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not system.rename(part, p):
+        raise OSError(f"not written: {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, system = _path_and_system(spark, path)
+    source = system.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    finally:
+        source.close()

@@ -18,7 +18,7 @@ def p1_exactly_once(spark: SparkSession, sf: str) -> DataFrame:
     """The log of the earlier batches and the last one, each message once."""
     log = table(spark, sf, "result_log").drop("probs")
     last = F.col("batch_id") == F.lit(log.agg(F.max("batch_id")).first()[0])
-    stored, arrived = log.where(~last | F.col("batch_id").isNull()), log.where(last)
+    stored, arrived = log.where(~last | F.col("batch_id").isNull()), log.where(F.coalesce(last, F.lit(False)))
     return exactly_once(stored, "id", judged_first(), arrived)
 
 

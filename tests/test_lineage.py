@@ -12,3 +12,9 @@ def test_written_tables_have_a_short_lineage_and_can_be_cleared(spark):
     spark.range(1).write.parquet(path)
     lineage.delete(spark, path)
     assert spark.sparkContext.applicationId in path and path.startswith(lineage.shared_dir(spark))
+
+
+def test_small_files(spark):
+    path = lineage.new_path(spark, "small") + ".json"
+    lineage.write_text(spark, path, '{"a": "ä"}')
+    assert lineage.read_text(spark, path) == '{"a": "ä"}'
