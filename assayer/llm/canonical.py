@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-_LINE = re.compile(r"\s*([^:]{1,80}?)\s*:(.*)", re.S)
+_LINE = re.compile(r"\s*([^:]+?)\s*:(.*)", re.S)
 _BREAK = re.compile(r"[\r\n]+")
 
 
@@ -67,7 +67,8 @@ def canonical(text: str | None) -> str | None:
 def canonical_column(column: str | Column) -> Column:
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([canonical(t) for t in texts], dtype=object)
+        known = {t: canonical(t) for t in texts.unique()}  # equal texts of a batch once
+        return texts.map(known).astype(object).where(texts.notna(), None)
 
     return of(F.col(column) if isinstance(column, str) else column)
 

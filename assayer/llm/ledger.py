@@ -4,7 +4,13 @@ The ledger is two tables in buckets of the key's hash: ``members`` (key, id) and
 (key, number of ids, earliest representative). A new batch is aggregated to the same shape and
 full-outer-joined with the buckets it touches, and only with those; counts are added, the earliest
 representative is retained, and the touched buckets are written anew beside the old ones. A small
-manifest says which path holds a bucket, so buckets that a batch does not touch are never read.
+manifest, a JSON file in the shared folder, says which path holds a bucket, so buckets that a batch
+does not touch are never read, and any later session opens the ledger by the manifest's path and
+folds the next batch into it. A manifest is never changed: each fold writes the next one.
+
+The number of buckets is a power of two that follows the size: once a bucket would hold more
+than ROWS_PER_BUCKET members on average, the ledger is written anew with twice as many or more. A
+batch small beside the ledger thus touches few of them.
 
 An id is counted once per state however often it was delivered: what a batch adds to a class is the
 number of its ids that ``members`` did not hold. Heavy classes cost no more than light ones, as
@@ -17,15 +23,18 @@ of equally early rows the smallest id represents the class; extra columns are ig
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.canonical import canonical_column, key_column
-from assayer.plans.lineage import folders, new_path
+from assayer.plans.lineage import folders, new_path, read_text, write_text
+from assayer.plans.skew import join_by_counted_key
 
-BUCKETS = 32
+#: Least buckets, and members that a bucket holds on average before there are more of them.
+BUCKETS, ROWS_PER_BUCKET = 32, 500_000
 MEMBERS = "bucket int, key binary, id string, n_rows long, first_at timestamp"
 CLASSES = "bucket int, key binary, n_ids long, n_rows long, keep_id string, first_id string, first_at timestamp"
 
@@ -46,13 +55,43 @@ def _write(rows: DataFrame, name: str) -> str:
 
 @dataclass
 class Ledger:
-    """Paths of the bucketed tables, by bucket."""
+    """Paths of the bucketed tables, by bucket, and how many members they hold."""
 
     spark: SparkSession
     buckets: int = BUCKETS
+    rows: int = 0
     members: dict[int, str] = field(default_factory=dict)
     classes: dict[int, str] = field(default_factory=dict)
 
+    def save(self) -> str:
+        """Writes the manifest; gives its path."""
+        path = new_path(self.spark, "ledger-manifest") + ".json"
+        write_text(self.spark, path, json.dumps({"buckets": self.buckets, "rows": self.rows, "members": self.members, "classes": self.classes}))
+        return path
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Ledger:
+        """The ledger of a manifest, in whatever session."""
+        told = json.loads(read_text(spark, path))
+        by_bucket = lambda d: {int(k): v for k, v in d.items()}
+        return cls(spark, told["buckets"], told["rows"], by_bucket(told["members"]), by_bucket(told["classes"]))
+
+    def grown(self, rows: int, rows_per_bucket: int) -> Ledger:
+        """The ledger with buckets enough for so many members."""
+        buckets = self.buckets
+        while buckets * rows_per_bucket < rows:
+            buckets *= 2
+        if buckets == self.buckets:
+            return self
+        if not self.members:
+            return Ledger(self.spark, buckets)
+        bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+        paths = []
+        for df, name in ((self.all_members(), "ledger-members"), (self.all_classes(), "ledger-classes")):
+            path = _write(df.withColumn("bucket", bucket), name)
+            paths.append(dict.fromkeys(folders(self.spark, path, "bucket"), path))
+        return Ledger(self.spark, buckets, self.rows, *paths)
+
     def _read(self, paths: dict[int, str], schema: str, only: set[int] | None = None) -> DataFrame:
         wanted = {b: p for b, p in paths.items() if only is None or b in only}
         parts = [self.spark.read.schema(schema).parquet(p).where(F.col("bucket").isin([b for b, q in wanted.items() if q == p])) for p in dict.fromkeys(wanted.values())]
@@ -69,15 +108,24 @@ class Ledger:
     def all_classes(self) -> DataFrame:
         return self._read(self.classes, CLASSES)
 
-    def fold(self, batch: DataFrame) -> Ledger:
+    def fold(self, batch: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Ledger:
         """The ledger with a batch of ``keyed`` rows added."""
         bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
-        fresh = batch.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("first_at").alias("first_at")).withColumn("bucket", bucket)
-        stage = _write(fresh, "ledger-batch")
+        fresh = batch.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("first_at").alias("first_at"))
+        stage = _write(fresh.withColumn("bucket", bucket), "ledger-batch")
         fresh = self.spark.read.schema(MEMBERS).parquet(stage)
-        touched = folders(self.spark, stage, "bucket")
-        if not touched:
+        n = fresh.count()
+        if not n:
             return self
+        grown = self.grown(self.rows + n, rows_per_bucket)
+        if grown is not self:
+            bucket = F.pmod(F.xxhash64("key"), F.lit(grown.buckets)).cast("int")
+            stage = _write(fresh.withColumn("bucket", bucket), "ledger-batch")
+            fresh = self.spark.read.schema(MEMBERS).parquet(stage)
+        return grown._add(fresh, stage)
+
+    def _add(self, fresh: DataFrame, stage: str) -> Ledger:
+        touched = folders(self.spark, stage, "bucket")
         if not self.members:
             held = fresh
             members_path = stage
@@ -95,7 +143,9 @@ class Ledger:
             members_path = _write(held, "ledger-members")
             held = self.spark.read.schema(MEMBERS + ", new int, batch_rows long").parquet(members_path)
             added = held.where(F.col("batch_rows").isNotNull())
-        return Ledger(self.spark, self.buckets, self.members | dict.fromkeys(touched, members_path), self._add_classes(added, touched))
+        classes = self._add_classes(added, touched)
+        new = added.agg(F.sum("new")).first()[0] if "new" in added.columns else added.count()
+        return Ledger(self.spark, self.buckets, self.rows + new, self.members | dict.fromkeys(touched, members_path), classes)
 
     def _add_classes(self, added: DataFrame, touched: set[int]) -> dict[int, str]:
         new = F.col("new") if "new" in added.columns else F.lit(1)
@@ -123,17 +173,16 @@ def in_batches(rows: DataFrame, at: str = "ingested_at") -> list[DataFrame]:
 
 
 def build(rows: DataFrame, buckets: int = BUCKETS) -> Ledger:
-    """A ledger of all rows, folded batch by batch."""
-    ledger = Ledger(rows.sparkSession, buckets)
+    """A ledger of all rows, folded batch by batch; between two batches it is opened by its manifest, as on another day."""
+    spark = rows.sparkSession
+    path = Ledger(spark, buckets).save()
     for batch in in_batches(rows):
-        ledger = ledger.fold(keyed(batch))
-    return ledger
+        path = Ledger.open(spark, path).fold(keyed(batch)).save()
+    return Ledger.open(spark, path)
 
 
 def duplicates(ledger: Ledger) -> DataFrame:
     """(keep_id, dup_id): the smallest id of each class of two ids or more, with each other id."""
-    from assayer.plans.skew import join_by_counted_key
-
     shared = ledger.all_classes().where(F.col("n_ids") > 1).select("key", "n_ids", "keep_id")
     total = shared.agg(F.sum("n_ids")).first()[0] or 0
     members = ledger.all_members().select("key", F.col("id").alias("dup_id"))

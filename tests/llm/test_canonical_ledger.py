@@ -18,6 +18,11 @@ def test_lines_and_text():
     assert canonical("A  b\xa0c – d") == "a b c d"
 
 
+def test_labels_of_any_length_are_fields():
+    long = " ".join(["label"] * 40)
+    assert canonical(f"{long}: a\nOther: b") == canonical(f"Other: b\n{long}: a")
+
+
 def test_odd_texts():
     assert canonical(None) is None
     assert canonical("") == canonical(" -- \n") == ""
@@ -61,6 +66,39 @@ def test_untouched_buckets_stay_where_they_are(spark):
     assert {tuple(r) for r in ledger.duplicates(more).collect()} == {("3", "z")}
 
 
+def test_another_process_folds_on(spark, tmp_path):
+    """A ledger saved by its manifest is opened by another session, which folds a batch; the first one reads the result."""
+    import os
+    import subprocess
+    import sys
+
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    path = ledger.Ledger(spark, 4).fold(ledger.keyed(rows.where("n_ids < 6"))).save()
+    rest = tmp_path / "rest"
+    rows.where("n_ids >= 6").write.parquet(str(rest))
+    code = f"""
+from assayer.llm import ledger
+from assayer.plans.session import local_session
+spark = local_session(2, "other", **{{"spark.checkpoint.dir": "{tmp_path}/shared"}})
+led = ledger.Ledger.open(spark, "{path}").fold(ledger.keyed(spark.read.parquet("{rest}")))
+print("PATH", led.save())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=240, env=os.environ | {"PYTHONPATH": os.getcwd()}, check=True).stdout
+    led = ledger.Ledger.open(spark, next(x.split()[1] for x in out.splitlines() if x.startswith("PATH")))
+    whole = ledger.Ledger(spark, 4).fold(ledger.keyed(rows))
+    assert classes(led) == classes(whole) and led.rows == whole.rows
+
+
+def test_buckets_follow_the_size(spark):
+    text = lambda ids: ledger.keyed(spark.createDataFrame([(f"{i:03}", f"Text {i % 90}", T[i % 5], 0) for i in ids], SCHEMA))
+    led = ledger.Ledger(spark, 2).fold(text(range(60)), 20)
+    assert led.buckets == 4 and led.rows == 60
+    led = led.fold(text(range(60, 200)), 20)
+    assert led.buckets == 16 and led.rows == 200 and len(led.members) > 8
+    assert classes(led) == classes(ledger.Ledger(spark, 2).fold(text(range(200))))
+    assert led.fold(text([])) is led
+
+
 def test_empty_and_hot(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ledger.build(empty, 4).all_classes().count() == 0
