@@ -64,6 +64,12 @@ def temperature_fit(scores: DataFrame, by: Sequence[str], low: float = 0.05, hig
     return best.select(*by, "temperature", "nll", F.col("slot").isin(0, len(grid) - 1).alias("at_boundary"))
 
 
+def argmax_moved(scores: DataFrame, by: Sequence[str], temperature: Column) -> DataFrame:
+    """(by, n, moved): rows whose prediction differs after scaling by a temperature."""
+    moved = V.first_argmax(V.scaled(F.col("z"), temperature)) != V.first_argmax(F.col("z"))
+    return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(moved).alias("moved"))
+
+
 def _best_slot(rows: DataFrame, by: Sequence[str], grid: list[float]) -> DataFrame:
     t = F.get(F.array(*map(F.lit, grid)), F.col("slot"))
     per = rows.withColumn("t", t).groupBy(*by, "slot", "t").agg(F.avg(V.nll(V.scaled(F.col("z"), F.col("t")), F.col("gold"))).alias("nll"))

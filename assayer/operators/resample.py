@@ -1,15 +1,22 @@
 """Bootstrap over whole families.
 
-Rows are first summed per family (partial aggregation, one small row each), then families are drawn.
+Rows are first summed per family (partial aggregation, one small row each). ``replicate_sums`` then
+weights families by independent Poisson(1) counts, replicate by replicate, and adds up weighted
+sums where the families lie: what is shuffled is one row per task and replicate, whatever the number
+of families. A weight is a function of seed, replicate and family, so it does not depend on the
+layout. Statistics that follow from sums (means, differences of paired means, calibration error from
+sums per bin) are computed from the sums of each replicate.
+
 ``draws`` gives the exact scheme (as many draws as families, with replacement) from a counter hash
-that any engine reproduces; its size is replicates x families. Where families number millions,
-``poisson`` weights families independently per replicate (the same limit, no join at all).
+that any engine reproduces; its size is replicates x families, so it is for small tables and checks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,31 +59,76 @@ def interval_nearest_rank(reps: DataFrame, by: Sequence[str]) -> DataFrame:
     return reps.groupBy(*by).agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
 
 
-def bootstrap_mean(rows: DataFrame, by: Sequence[str], group: str, value: Column, replicates: int, seed: str) -> DataFrame:
-    """(by, point, lo, hi, n_groups, degenerate); by must name a column."""
-    fam = families(rows, by, group, {"s": value})
-    point = fam.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("point"), F.max("n_groups").alias("n_groups"))
-    ci = interval(replicates_of_ratio(fam, by, "s", replicates, seed), by)
-    return point.join(ci, list(by)).select(*by, "point", "lo", "hi", "n_groups", (F.col("lo") == F.col("hi")).alias("degenerate"))
+#: Replicates that intervals are taken from.
+REPLICATES = 10_000
+_BLOCK = 1 << 20  # weights held at a time
+
+
+def poisson_table() -> np.ndarray:
+    """Poisson(1) counts of 16-bit numbers: each count as often as its probability says, and their mean 1."""
+    edges = np.floor(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]) * 65536 + 0.5).astype(int)
+    out = np.searchsorted(edges, np.arange(65536), side="right")
+    out[65536 - abs(65536 - int(out.sum())) :] += np.sign(65536 - int(out.sum()))  # what rounding took from the mean
+    return out.astype(np.float64)
+
+
+def weights(families: np.ndarray, replicates: int) -> np.ndarray:
+    """(families x replicates) Poisson(1) weights from 64-bit family hashes: four weights of each mixed counter."""
+    n = -(-replicates // 4)
+    x = families.view(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return _TABLE[x.view(np.uint16)[:, :replicates]]
+
+
+_TABLE = poisson_table()
+
+
+def replicate_sums(rows: DataFrame, by: Sequence[str], group: str, values: dict[str, Column], replicates: int = REPLICATES, seed: str = "b") -> DataFrame:
+    """(by, b, values..., n): weighted sums in each replicate b, n being the weighted number of rows."""
+    fam = rows.groupBy(*by, group).agg(*[F.sum(c).cast("double").alias(k) for k, c in values.items()], F.count(F.lit(1)).cast("double").alias("n"))
+    names = [*values, "n"]
+    hashed = fam.select(*by, F.xxhash64(F.lit(seed), F.col(group).cast("string")).alias("__h"), *names)
+    kinds = ", ".join(f"{c} {t}" for c, t in hashed.select(*by).dtypes)
+    step = max(1, _BLOCK // replicates)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def told() -> Iterator[pd.DataFrame]:
+            for key, total in sums.items():
+                yield pd.DataFrame(dict(zip(by, key, strict=True)) | {"b": np.arange(replicates, dtype=np.int32)} | dict(zip(names, total, strict=True)))
+
+        for pdf in batches:
+            for key, mine in pdf.groupby(list(by), dropna=False, sort=False) if by else [((), pdf)]:
+                v, h = mine[names].fillna(0.0).to_numpy(np.float64).T, mine["__h"].to_numpy(np.int64)
+                total = sums.setdefault(key, np.zeros((len(names), replicates)))
+                for i in range(0, len(h), step):
+                    total += v[:, i : i + step] @ weights(h[i : i + step], replicates)
+            if len(sums) > 200:
+                yield from told()
+                sums.clear()
+        yield from told()
+
+    part = hashed.mapInPandas(of, f"{kinds}{', ' if by else ''}b int, {', '.join(f'{k} double' for k in names)}")
+    return part.groupBy(*by, "b").agg(*[F.sum(k).alias(k) for k in names])
 
 
-def poisson(rows: DataFrame, by: Sequence[str], group: str, value: Column, replicates: int, seed: str) -> DataFrame:
-    """(by, b, m) with Poisson(1) weights per family and replicate; families are neither numbered nor joined."""
-    fam = rows.groupBy(*by, group).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    u = number_of(seed, F.col("b").cast("string"), *[F.col(c).cast("string") for c in by], F.col(group).cast("string")) / F.lit(float(16**12))
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)), F.lit(0))
-    cells = fam.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("weight", weight)
-    return cells.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("s") * F.col("weight")), F.sum(F.col("n") * F.col("weight"))).alias("m"))
+def replicates_of_mean(rows: DataFrame, by: Sequence[str], group: str, value: Column, replicates: int = REPLICATES, seed: str = "b") -> DataFrame:
+    """(by, b, m): the mean of value in each replicate."""
+    return replicate_sums(rows, by, group, {"s": value}, replicates, seed).select(*by, "b", F.try_divide("s", "n").alias("m"))
 
 
-def bootstrap_statistic(rows: DataFrame, group: str, columns: Sequence[str], statistic: Callable[[pd.DataFrame], float], replicates: int, seed: str) -> DataFrame:
-    """(b, m) for any statistic of the drawn rows: replicates are spread over tasks, each sees one replicate's rows."""
-    fam = families(rows, [], group, {})
-    j = rows.select(group, *columns).join(fam.select(group, "gi"), group).join(draws(fam, [], replicates, seed), "gi")
+def replicates_of_ece(rows: DataFrame, by: Sequence[str], group: str, bin_: Column, ok: Column, conf: Column, bins: int, replicates: int = REPLICATES, seed: str = "b") -> DataFrame:
+    """(by, b, m): the expected calibration error in each replicate, from the sums of each bin."""
+    gap = {f"g{k}": F.when(bin_ == k, ok - conf).otherwise(0.0) for k in range(bins)}
+    sums = replicate_sums(rows, by, group, gap, replicates, seed)
+    return sums.select(*by, "b", F.try_divide(sum((F.abs(F.col(k)) for k in gap), F.lit(0.0)), F.col("n")).alias("m"))
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf["b"].iloc[0]
-        drawn = pdf.loc[pdf.index.repeat(pdf["weight"])]
-        return pd.DataFrame({"b": [b], "m": [float(statistic(drawn[list(columns)]))]})
 
-    return j.groupBy("b").applyInPandas(of, "b int, m double")
+def bootstrap_mean(rows: DataFrame, by: Sequence[str], group: str, value: Column, replicates: int = REPLICATES, seed: str = "b") -> DataFrame:
+    """(by, point, lo, hi, n_groups, degenerate): the mean, its 95 % interval, the number of families."""
+    whole = rows.groupBy(*by).agg(F.avg(value).alias("point"), F.count_distinct(F.col(group)).alias("n_groups"))
+    ci = interval(replicates_of_mean(rows, by, group, value, replicates, seed), by)
+    return whole.join(ci, list(by)).select(*by, "point", "lo", "hi", "n_groups", (F.col("lo") == F.col("hi")).alias("degenerate"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.plans.prefix import numbered
+
 
 def rank_key(seed: str, *columns: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in columns]), 256)
@@ -26,8 +28,7 @@ def sample_per(rows: DataFrame, by: Sequence[str], n: int, seed: str, key: str)
 def holdout_groups(rows: DataFrame, source: str, group: str, share: float, seed: str) -> DataFrame:
     """(source, group): per source max(1, half-even round of groups x share) whole groups, by hash rank."""
     groups = rows.where(F.col(group).isNotNull()).select(source, group).distinct()
-    w = Window.partitionBy(source)
-    ranked = groups.select(source, group, F.row_number().over(w.orderBy(rank_key(seed, source, group), group)).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
+    ranked = numbered(groups.withColumn("__rank__", rank_key(seed, source, group)), [source], [F.col("__rank__").asc(), F.col(group).asc()])
     return ranked.where(F.col("rn") <= F.greatest(F.lit(1), F.bround(F.col("n") * share))).select(source, group)
 
 

@@ -84,7 +84,7 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
     return _six(C.summary(C.items(views.scores(spark, sf)), ["arm"]), ("arm", "n"), "accuracy", "nll", "brier", "mean_pmax", "ece")
 
 
-_POINTS = 401
+_POINTS = 4001
 _NLL_T = "avg(list_max(z) / t + ln(list_sum(list_transform(z, lambda x: exp(x / t - list_max(z) / t)))) - z[gold + 1] / t)"
 
 
@@ -111,11 +111,11 @@ def selective(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @r.query("q_agg27_binned", f"""
-SELECT source, {_BIN} AS bin, count(*) AS n, round(avg(pmax), 6) AS mean_p, round(avg(correct), 6) AS accuracy FROM ({_ITEMS}) WHERE arm = 0 GROUP BY ALL""")
+SELECT arm, source, {_BIN} AS bin, count(*) AS n, round(avg(pmax), 6) AS mean_p, round(avg(correct), 6) AS accuracy FROM ({_ITEMS}) GROUP BY ALL""")
 def binned(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.items(views.scores(spark, sf).where(F.col("arm") == 0))
-    out = rows.groupBy("source", C.bin_of(F.col("pmax")).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("pmax").alias("mean_p"), F.avg("correct").alias("accuracy"))
-    return _six(out, ("source", "bin", "n"), "mean_p", "accuracy")
+    rows = C.items(views.scores(spark, sf))
+    out = rows.groupBy("arm", "source", C.bin_of(F.col("pmax")).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("pmax").alias("mean_p"), F.avg("correct").alias("accuracy"))
+    return _six(out, ("arm", "source", "bin", "n"), "mean_p", "accuracy")
 
 
 @r.query("q_agg30_auc", """
@@ -143,37 +143,26 @@ def calibrated_delta(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@r.query("q_gat10_argmax_kept", f"SELECT arm, count(*) AS n, CAST(0 AS BIGINT) AS moved FROM ({_S}) GROUP BY arm")
-def argmax_kept(spark: SparkSession, sf: str) -> DataFrame:
-    """Scaling by a temperature must not change any prediction."""
-    s = views.scores(spark, sf)
-    return s.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(V.first_argmax(V.scaled(F.col("z"), 2.5)) != V.first_argmax(F.col("z"))).alias("moved"))
-
-
-def _boot_sql(fam: str, by: str, reps: int, seed: str, total: str = "s") -> str:
-    """Replicates of sum(total) / sum(n) in SQL, from families (by, gi, g, total, n)."""
-    return f"""
-WITH fam AS ({fam}), sizes AS (SELECT {by}, max(g) AS g FROM fam GROUP BY {by}),
-d AS (SELECT {by}, b, CAST(concat('0x', substr(sha256(concat_ws(':', '{seed}', CAST(b AS VARCHAR), CAST(j AS VARCHAR))), 1, 12)) AS BIGINT) % g AS gi
-      FROM (SELECT {by}, g, b, unnest(range(g)) AS j FROM sizes CROSS JOIN range({reps}) t(b))),
-m AS (SELECT d.{by}, b, sum({total}) / sum(n) AS m FROM d JOIN fam ON fam.{by} = d.{by} AND fam.gi = d.gi GROUP BY d.{by}, b)"""
+_FIRST = "list_position({0}, list_max({0}))"
 
 
-_FAM = f"""SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY group_id) - 1 AS gi, count(*) OVER (PARTITION BY arm) AS g, s, n FROM (
-  SELECT arm, group_id, CAST(sum(correct) AS DOUBLE) AS s, count(*) AS n FROM ({_ITEMS}) GROUP BY ALL)"""
+@r.query("q_gat10_argmax_kept", f"""
+WITH g AS (SELECT 0.05::DOUBLE * pow(400.0::DOUBLE, i / {_POINTS - 1}.0::DOUBLE) AS t FROM range({_POINTS}) r(i) UNION SELECT 1.0),
+n AS (SELECT arm, t, {_NLL_T} AS nll FROM ({_S}) CROSS JOIN g WHERE split = 'calibration' GROUP BY ALL), f AS (SELECT arm, arg_min(t, nll) AS t FROM n GROUP BY arm),
+x AS (SELECT s.arm, z, list_transform(z, lambda v: v / f.t) AS scaled FROM ({_S}) s JOIN f ON f.arm = s.arm)
+SELECT arm, count(*) AS n, count(*) FILTER (WHERE {_FIRST.format('z')} <> {_FIRST.format('scaled')}) AS moved, CASE WHEN count(*) FILTER (WHERE {_FIRST.format('z')} <> {_FIRST.format('scaled')}) > 0 THEN 'fail' ELSE 'pass' END AS status FROM x GROUP BY arm""")
+def argmax_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Scaling by the temperature fitted for an arm must not change any prediction of it."""
+    s = views.scores(spark, sf)
+    fit = C.temperature_fit(s.where(F.col("split") == "calibration"), ["arm"], points=_POINTS).select("arm", "temperature")
+    moved = C.argmax_moved(s.join(F.broadcast(fit), "arm"), ["arm"], F.col("temperature"))  # one row per arm
+    return moved.withColumn("status", F.when(F.col("moved") > 0, "fail").otherwise("pass"))
 
 
-@r.query("q_agg23_bootstrap_mean", _boot_sql(_FAM, "arm", 100, "b1") + """
-SELECT m.arm, round(any_value(point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, any_value(gs) AS n_groups, FALSE AS degenerate
-FROM m JOIN (SELECT arm, sum(s) / sum(n) AS point, max(g) AS gs FROM fam GROUP BY arm) p ON p.arm = m.arm GROUP BY m.arm""")
+@r.query("q_agg23_bootstrap_mean")
 def bootstrap_mean(spark: SparkSession, sf: str) -> DataFrame:
-    out = B.bootstrap_mean(C.items(views.scores(spark, sf)), ["arm"], "group_id", F.col("correct").cast("double"), 100, "b1")
-    return out.select("arm", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")], "n_groups", "degenerate")
-
-
-_DIFF = f"""SELECT a.arm, a.group_id, CAST(a.correct - b.correct AS DOUBLE) AS d FROM ({_ITEMS}) a JOIN (SELECT id, correct FROM ({_ITEMS}) WHERE arm = 0) b ON a.id = b.id WHERE a.arm > 0"""
-_FAM_D = f"""SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY group_id) - 1 AS gi, count(*) OVER (PARTITION BY arm) AS g, s, n FROM (
-  SELECT arm, group_id, sum(d) AS s, count(*) AS n FROM ({_DIFF}) GROUP BY ALL)"""
+    """Accuracy of each arm with its interval from 10,000 replicates over families."""
+    return B.bootstrap_mean(C.items(views.scores(spark, sf)), ["arm"], "group_id", F.col("correct").cast("double"), seed="b1")
 
 
 def _differences(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,46 +171,32 @@ def _differences(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("arm") > 0).join(base, "id").select("arm", "group_id", (F.col("correct") - F.col("was")).cast("double").alias("d"))
 
 
-@r.query("q_agg24_bootstrap_difference", _boot_sql(_FAM_D, "arm", 100, "b2") + """
-SELECT m.arm, round(any_value(point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi
-FROM m JOIN (SELECT arm, sum(s) / sum(n) AS point FROM fam GROUP BY arm) p ON p.arm = m.arm GROUP BY m.arm""")
+@r.query("q_agg24_bootstrap_difference")
 def bootstrap_difference(spark: SparkSession, sf: str) -> DataFrame:
-    """Each arm against arm 0 on the same items, families resampled together."""
-    return _six(B.bootstrap_mean(_differences(spark, sf), ["arm"], "group_id", F.col("d"), 100, "b2"), ("arm",), "point", "lo", "hi")
+    """Each arm against arm 0 on the same items, families resampled together, 10,000 replicates."""
+    return B.bootstrap_mean(_differences(spark, sf), ["arm"], "group_id", F.col("d"), seed="b2").drop("n_groups", "degenerate")
 
 
-@r.query("q_agg26_bootstrap_nearest_rank", _boot_sql(_FAM, "arm", 60, "b3") + """
-SELECT arm, round(list_sort(list(m))[1 + CAST(floor(CAST(0.025 AS DOUBLE) * 60) AS INT)], 6) AS lo, round(list_sort(list(m))[1 + CAST(floor(CAST(0.975 AS DOUBLE) * 60) AS INT)], 6) AS hi FROM m GROUP BY arm""")
+@r.query("q_agg26_bootstrap_nearest_rank")
 def bootstrap_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
-    fam = B.families(C.items(views.scores(spark, sf)), ["arm"], "group_id", {"s": F.col("correct").cast("double")})
-    return _six(B.interval_nearest_rank(B.replicates_of_ratio(fam, ["arm"], "s", 60, "b3"), ["arm"]), ("arm",), "lo", "hi")
+    """Intervals by nearest rank from 2,000 replicates."""
+    rows = C.items(views.scores(spark, sf))
+    return B.interval_nearest_rank(B.replicates_of_mean(rows, ["arm"], "group_id", F.col("correct").cast("double"), 2_000, "b3"), ["arm"])
 
 
 @r.query("q_agg25_bootstrap_statistic")
 def bootstrap_statistic(spark: SparkSession, sf: str) -> DataFrame:
-    """The bootstrap of any statistic, here the median confidence: one row per replicate."""
-    rows = C.items(views.scores(spark, sf).where(F.col("arm") == 1)).select("group_id", "pmax")
-    return B.bootstrap_statistic(rows, "group_id", ["pmax"], lambda pdf: pdf["pmax"].median(), 20, "b4")
-
+    """Interval of a statistic that is no mean: the calibration error of each arm, 10,000 replicates."""
+    rows = C.items(views.scores(spark, sf)).withColumn("bin", C.bin_of(F.col("pmax")))
+    reps = B.replicates_of_ece(rows, ["arm"], "group_id", F.col("bin"), F.col("correct").cast("double"), F.col("pmax"), C.BINS, seed="b4")
+    return C.ece(rows, ["arm"]).join(B.interval(reps, ["arm"]), "arm")
 
-_LINES = "SELECT l_returnflag AS by_, l_orderkey AS fam, CAST(l_linestatus = 'O' AS INT) AS ok FROM lineitem"
-_FAM_L = f"""SELECT by_, row_number() OVER (PARTITION BY by_ ORDER BY fam) - 1 AS gi, count(*) OVER (PARTITION BY by_) AS g, s, n FROM (
-  SELECT by_, fam, CAST(sum(ok) AS DOUBLE) AS s, count(*) AS n FROM ({_LINES}) GROUP BY ALL)"""
 
-
-@r.query("q_agg23_bootstrap_large", _boot_sql(_FAM_L, "by_", 8, "b5") + " SELECT by_ AS l_returnflag, b::INT AS b, round(m, 6) AS m FROM m")
+@r.query("q_agg23_bootstrap_large")
 def bootstrap_large(spark: SparkSession, sf: str) -> DataFrame:
-    """Replicates over the families (orders) of lineitem."""
-    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", (F.col("l_linestatus") == "O").cast("double").alias("ok"))
-    fam = B.families(rows, ["l_returnflag"], "l_orderkey", {"s": F.col("ok")})
-    return _six(B.replicates_of_ratio(fam, ["l_returnflag"], "s", 8, "b5"), ("l_returnflag", "b"), "m")
-
-
-@r.query("q_agg23_bootstrap_poisson")
-def bootstrap_poisson(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with independent Poisson weights: no draws to join, for families by the million."""
+    """10,000 replicates over the families (orders) of lineitem."""
     rows = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", (F.col("l_linestatus") == "O").cast("double").alias("ok"))
-    return B.interval(B.poisson(rows, ["l_returnflag"], "l_orderkey", F.col("ok"), 20, "b6"), ["l_returnflag"])
+    return B.bootstrap_mean(rows, ["l_returnflag"], "l_orderkey", F.col("ok"), seed="b5")
 
 
 @r.query("q_agg45_permutation_flips", f"""

@@ -138,6 +138,58 @@ def test_bootstrap(spark):
     assert a[1][1:4] == (1.0, 1.0, 1.0) and a[1][5] is True
     fam = resample.families(rows, ["arm"], "g", {"s": F.col("v")})
     assert resample.replicates_of_ratio(fam, ["arm"], "s", 10, "s").count() == 20
-    assert resample.interval_nearest_rank(resample.poisson(rows, ["arm"], "g", F.col("v"), 40, "t"), ["arm"]).count() == 2
     total = resample.draws(fam, ["arm"], 7, "s").groupBy("arm", "b").agg(F.sum("weight").alias("w")).collect()
     assert {(r["arm"], r["w"]) for r in total} == {(1, 4), (2, 2)}
+
+
+def test_poisson_weights():
+    import numpy as np
+
+    assert resample.poisson_table().mean() == 1.0
+    w = resample.weights(np.arange(400, dtype=np.int64), 999)
+    assert w.shape == (400, 999) and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert np.array_equal(w[7], resample.weights(np.array([7], np.int64), 999)[0])
+    assert abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
+
+
+def test_replicates_against_plain_numpy(spark):
+    """The same weights by hand, families in any layout; and the interval against the exact scheme."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [(1 + i % 2, f"g{i // 3}", float(rng.random() < 0.6), float(rng.random()), i % 5) for i in range(600)] + [(1, None, 1.0, 0.5, 0)]
+    rows = spark.createDataFrame(data, "arm int, g string, v double, p double, k int").repartition(3)
+    got = {(r["arm"], r["b"]): r for r in resample.replicate_sums(rows, ["arm"], "g", {"s": F.col("v")}, 50, "t").collect()}
+    hashes = {r["g"]: r["h"] for r in rows.select("g", F.xxhash64(F.lit("t"), F.col("g")).alias("h")).distinct().collect()}
+    w = {g: resample.weights(np.array([h], np.int64), 50)[0] for g, h in hashes.items()}
+    for arm in (1, 2):
+        s, n = (sum(w[g] * (v if x else 1.0) for a, g, v, *_ in data if a == arm) for x in (1, 0))
+        assert all(got[arm, b]["s"] == s[b] and got[arm, b]["n"] == n[b] for b in range(50))
+    ci = resample.bootstrap_mean(rows.where("arm = 2"), ["arm"], "g", F.col("v"), 4000, "u").first()
+    fam = {}
+    for a, g, v, *_ in data:
+        if a == 2:
+            fam.setdefault(g, []).append(v)
+    pairs = np.array([(sum(x), len(x)) for x in fam.values()])
+    exact = pairs[rng.integers(0, len(pairs), (4000, len(pairs)))].sum(axis=1)
+    lo, hi = np.percentile(exact[:, 0] / exact[:, 1], [2.5, 97.5])
+    assert abs(ci["lo"] - lo) < 0.01 and abs(ci["hi"] - hi) < 0.01
+    ece = resample.replicates_of_ece(rows, ["arm"], "g", F.col("k"), F.col("v"), F.col("p"), 5, 20, "t").where("arm = 1 and b = 4").first()["m"]
+    sums = {k: sum(w[g][4] * (v - q) for a, g, v, q, kk in data if a == 1 and kk == k) for k in range(5)}
+    assert ece == pytest.approx(sum(map(abs, sums.values())) / sum(w[g][4] for a, g, *_ in data if a == 1))
+    empty = resample.replicate_sums(rows.limit(0), ["arm"], "g", {"s": F.col("v")}, 10, "t")
+    assert empty.count() == 0
+
+
+def test_mcnemar_of_any_size(spark):
+    """Bounded sums agree with whole ones; beyond, the normal tail continues them."""
+    import math
+
+    def plain(b, c):
+        n, k = b + c, min(b, c)
+        t = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
+        return min(1.0, 2 * sum(map(math.exp, t)))
+
+    for b, c in ((20_000, 20_300), (9_000, 9_000), (60_000, 61_000), (250_000, 251_500)):
+        assert one(spark, paired.mcnemar_exact(F.lit(b), F.lit(c)).alias("p"))["p"] == pytest.approx(plain(b, c), rel=2e-3)
+    assert one(spark, paired.mcnemar_exact(F.lit(10**11), F.lit(10**11)).alias("p"))["p"] == pytest.approx(1, abs=1e-5)
