@@ -62,14 +62,17 @@ def erfc(x: Column) -> Column:
 def mcnemar_exact(b: Column, c: Column) -> Column:
     """Two-sided exact binomial p of b against c discordant pairs, in logarithms so that tiny p survive.
 
-    The tail is summed from its greatest term on, TERMS of them at most; with MOST_EXACT pairs or
+    The tail is summed from its greatest term on, each from the one before, TERMS of them at most; with MOST_EXACT pairs or
     fewer, what is beyond is under 1e-17 of the sum. Beyond that the normal tail with continuity
     correction is exact to about one part in a thousand wherever p is not itself negligible.
     """
     n, k = (b + c).cast("bigint"), F.least(b, c).cast("bigint")
-    terms = F.transform(F.sequence(F.greatest(F.lit(0), k - TERMS), k), lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.log(F.lit(2.0)))
-    top = F.array_max(terms)
-    tail = top + F.log(F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    def add(acc: Column, j: Column) -> Column:
+        term = F.when(j == 0, 1.0).otherwise(acc["term"] * (k - j + 1) / (n - k + j))
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    whole = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.least(k, F.lit(TERMS))), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")), add, lambda acc: acc["total"])
+    tail = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * F.log(F.lit(2.0)) + F.log(whole)
     z = F.greatest((F.abs(b - c) - 1).cast("double"), F.lit(0.0)) / F.sqrt(n.cast("double"))
     return F.when(n == 0, 1.0).when(n > MOST_EXACT, erfc(z / math.sqrt(2))).otherwise(F.least(F.lit(1.0), 2.0 * F.exp(tail)))
 
