@@ -43,3 +43,17 @@ def binary_rates(positive_gold: Column, positive_pred: Column) -> list[Column]:
     p = F.coalesce(positive_pred, F.lit(False))
     tp, fn, fp, tn = F.count_if(positive_gold & p), F.count_if(positive_gold & ~p), F.count_if(~positive_gold & p), F.count_if(~positive_gold & ~p)
     return [tp.alias("tp"), fn.alias("fn"), fp.alias("fp"), tn.alias("tn"), F.try_divide(tp, tp + fn).alias("recall"), F.try_divide(fp, fp + tn).alias("fpr"), F.try_divide(tp, tp + fp).alias("precision")]
+
+
+def uniformity(counts: DataFrame, cells: str, place: str, k: str) -> DataFrame:
+    """(cells, n, chi2, df, z, p): counts of places 1..cells against equal shares; z and p by the normal limit of chi-square."""
+    from assayer.operators.paired import erfc
+
+    whole = counts.groupBy(cells).agg(F.sum(k).alias("n"))
+    grid = whole.select(cells, "n", F.explode(F.sequence(F.lit(1), F.col(cells).cast("int"))).alias(place))
+    seen = grid.join(counts.select(cells, F.col(place).cast("int").alias(place), k), [cells, place], "left")
+    expected = F.col("n") / F.col(cells)
+    gap = F.coalesce(F.col(k), F.lit(0)) - expected
+    out = seen.groupBy(cells).agg(F.sum(F.coalesce(F.col(k), F.lit(0))).alias("n"), F.sum(gap * gap / expected).alias("chi2")).withColumn("df", F.col(cells) - 1)
+    z = F.try_divide(F.col("chi2") - F.col("df"), F.sqrt(2.0 * F.col("df")))
+    return out.select(cells, "n", F.round("chi2", 6).alias("chi2"), "df", F.round(z, 6).alias("z"), F.round(erfc(F.abs(z) / 1.4142135623730951), 6).alias("p"))

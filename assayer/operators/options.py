@@ -69,3 +69,8 @@ def most_marked_option(options: Column) -> Column:
     """Label of the description with the most digits and punctuation; ties go to the earliest."""
     size = F.transform(options, lambda o: F.coalesce(count_of_signs(o["description"], MARKS), F.lit(0)))
     return F.get(options, (F.array_position(size, F.array_max(size)) - 1).cast("int"))["label"]
+
+
+def prompt_of(messages: Column) -> Column:
+    """The turns before the last one, if that is the assistant's; all of them else."""
+    return F.when(F.element_at(messages, -1)["role"] == "assistant", F.slice(messages, F.lit(1), F.size(messages) - 1)).otherwise(messages)

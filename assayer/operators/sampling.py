@@ -58,8 +58,11 @@ def round_robin(rows: DataFrame, topic: str, order: Sequence[Column], seed: str)
     return ranked.withColumn("place", rank_key(seed, topic))
 
 
-def balanced(rows: DataFrame, label: str, n: int, seed: str, key: str) -> DataFrame:
-    """n rows, labels in turn, each label's rows by hash rank."""
-    w = Window.partitionBy(label).orderBy(rank_key(seed, key), key)
+def balanced(rows: DataFrame, label: str, n: int, seed: str, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """n rows of each cell of ``by`` (of all without any), labels in turn, each label's rows by hash rank."""
+    w = Window.partitionBy(*by, label).orderBy(rank_key(seed, key), key)
     ranked = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n)
-    return ranked.orderBy("turn", label).limit(n).drop("turn")
+    if not by:
+        return ranked.orderBy("turn", label).limit(n).drop("turn")
+    placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("turn", label)))  # n rows a label at most
+    return placed.where(F.col("place") <= n).drop("turn", "place")

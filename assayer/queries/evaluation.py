@@ -47,12 +47,11 @@ def distinct(spark: SparkSession, sf: str) -> DataFrame:
     return views.records(spark, sf).agg(d(F.col("id")).alias("ids"), d(F.col("group_id")).alias("groups"), d(F.col("state")).alias("states"), d(F.col("question")).alias("questions"))
 
 
-@r.query("q_agg4_extremes", "SELECT coalesce(sum(n_chars), 0)::BIGINT AS total, coalesce(max(n_chars), 0) AS longest, coalesce(min(n_chars), 0) AS shortest FROM documents WHERE lang = 'none'")
+@r.query("q_agg4_extremes", "SELECT lang, coalesce(sum(n_chars), 0)::BIGINT AS total, coalesce(max(n_chars), 0) AS longest, coalesce(min(n_chars), 0) AS shortest FROM documents GROUP BY lang")
 def extremes(spark: SparkSession, sf: str) -> DataFrame:
-    """Sums and extremes of nothing are 0, not null."""
+    """Sums and extremes per language; of nothing they are 0, not null."""
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    rows = table(spark, sf, "documents").where(F.col("lang") == "none")
-    return rows.agg(zero(F.sum("n_chars")).alias("total"), zero(F.max("n_chars")).alias("longest"), zero(F.min("n_chars")).alias("shortest"))
+    return table(spark, sf, "documents").groupBy("lang").agg(zero(F.sum("n_chars")).alias("total"), zero(F.max("n_chars")).alias("longest"), zero(F.min("n_chars")).alias("shortest"))
 
 
 _ACC = "round(avg(CAST(coalesce(pred_constrained = gold, FALSE) AS INT)), 6)"
@@ -243,6 +242,31 @@ def position_balance(spark: SparkSession, sf: str) -> DataFrame:
     return expected.join(observed, "label", "left").select("label", F.coalesce("observed", F.lit(0)).alias("observed"), "expected")
 
 
+@r.query("q_agg32_position_test", f"""
+WITH x AS ({_N2}), c AS (SELECT n, unnest(range(1, n + 1)) AS i, count(*) AS rows_ FROM x GROUP BY n), o AS (SELECT n, instr('ABCDEFGHIJKLMNOPQRSTUVWX', answer) AS i, count(*) AS k FROM x GROUP BY ALL),
+e AS (SELECT n, i, (SELECT count(*) FROM x WHERE x.n = d.n) / CAST(n AS DOUBLE) AS expected FROM (SELECT DISTINCT n, i FROM c) d)
+SELECT e.n AS n_options, CAST(sum(coalesce(k, 0)) AS BIGINT) AS n, round(sum((coalesce(k, 0) - expected) ** 2 / expected), 6) AS chi2, max(e.n) - 1 AS df,
+       round((sum((coalesce(k, 0) - expected) ** 2 / expected) - (max(e.n) - 1)) / sqrt(2.0::DOUBLE * (max(e.n) - 1)), 6) AS z
+FROM e LEFT JOIN o ON o.n = e.n AND o.i = e.i GROUP BY e.n""")
+def position_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Per number of options: chi-square of the answers' places against chance, its degrees of freedom and z."""
+    return _position_test(spark, sf).drop("p")
+
+
+def _position_test(spark: SparkSession, sf: str) -> DataFrame:
+    from assayer.operators.classify import uniformity
+
+    x = views.first_records(spark, sf).where(F.col("options").isNotNull() & F.col("answer").isNotNull())
+    counts = x.groupBy(F.size("options").cast("bigint").alias("n_options"), F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWX"), F.col("answer")).alias("place")).agg(F.count(F.lit(1)).alias("k"))
+    return uniformity(counts, "n_options", "place", "k")
+
+
+@r.query("q_agg32_position_p")
+def position_p(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the two-sided p of z."""
+    return _position_test(spark, sf)
+
+
 @r.query("q_agg31_shortcut", f"""
 WITH x AS (SELECT source, group_id, len(options) AS n, CAST(answer = options[list_position(list_transform(options, lambda o: length(o.description)), list_max(list_transform(options, lambda o: length(o.description))))].label AS INT) AS hit
            FROM ({_R}) WHERE len(options) > 0 AND answer IS NOT NULL AND group_id IS NOT NULL),
@@ -374,11 +398,12 @@ def seed_spread(spark: SparkSession, sf: str) -> DataFrame:
 
 @r.query("q_agg49_constant_policy", f"""
 WITH x AS (SELECT arm, source, pred_constrained AS p, count(*) AS k FROM ({_G}) GROUP BY ALL)
-SELECT arm, source, sum(k)::BIGINT AS n, max(k) AS most, max(k) >= ceil(sum(k) * 5 / 6.0) AS constant FROM x GROUP BY arm, source""")
+SELECT arm, source, sum(k)::BIGINT AS n, max(k) AS most, max(k) >= sum(k) AS always, max(k) >= ceil(sum(k) * 5 / 6.0) AS five_sixths, max(k) >= ceil(sum(k) * 7 / 8.0) AS seven_eighths FROM x GROUP BY arm, source""")
 def constant_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """An arm that gives one answer to nearly all items of a source."""
+    """An arm that gives one answer to all, to five sixths or to seven eighths of the items of a source."""
     x = views.results(spark, sf).groupBy("arm", "source", "pred_constrained").agg(F.count(F.lit(1)).alias("k"))
-    return x.groupBy("arm", "source").agg(F.sum("k").alias("n"), F.max("k").alias("most"), (F.max("k") >= F.ceil(F.sum("k") * 5 / 6.0)).alias("constant"))
+    n, most = F.sum("k"), F.max("k")
+    return x.groupBy("arm", "source").agg(n.alias("n"), most.alias("most"), (most >= n).alias("always"), (most >= F.ceil(n * 5 / 6.0)).alias("five_sixths"), (most >= F.ceil(n * 7 / 8.0)).alias("seven_eighths"))
 
 
 @r.query("q_win8_leave_one_out_mode", f"""
@@ -424,18 +449,18 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return views.records(spark, sf).where(F.col("state").isNotNull()).groupBy("source").agg(F.round(F.avg(hit.cast("int")), 6).alias("hit_rate"))
 
 
-@r.query("q_agg51_duplicate_prompts", "SELECT count(*) AS n, count(DISTINCT prompt_sha256) AS prompts, count(prompt_sha256) - count(DISTINCT prompt_sha256) AS repeated FROM gen_results WHERE arm = 'seed42'")
+@r.query("q_agg51_duplicate_prompts", "SELECT arm, count(*) AS n, count(DISTINCT prompt_sha256) AS prompts, count(prompt_sha256) - count(DISTINCT prompt_sha256) AS repeated FROM gen_results GROUP BY arm")
 def duplicate_prompts(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("prompt_sha256")
-    return table(spark, sf, "gen_results").where(F.col("arm") == "seed42").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(p).alias("prompts"), (F.count(p) - F.count_distinct(p)).alias("repeated"))
+    return table(spark, sf, "gen_results").groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(p).alias("prompts"), (F.count(p) - F.count_distinct(p)).alias("repeated"))
 
 
 @r.query("q_agg53_recall_decline", f"""
 WITH c AS (SELECT arm, label, tp / nullif(n_true, 0) AS recall FROM ({_CLASSES}))
-SELECT a.arm, a.label, round(a.recall - b.recall, 6) AS change FROM c a JOIN c b ON b.label = a.label AND b.arm = 'base-c0' WHERE a.recall < b.recall""")
+SELECT a.arm, a.label, round(a.recall - b.recall, 6) AS change FROM c a JOIN c b ON b.label = a.label AND b.arm = 'seed42' WHERE a.recall < b.recall""")
 def recall_decline(spark: SparkSession, sf: str) -> DataFrame:
     c = classify.per_class(views.results(spark, sf), _FIVE, "gold", "pred_constrained", ["arm"]).select("arm", "label", "recall")
-    base = c.where(F.col("arm") == "base-c0").select("label", F.col("recall").alias("was"))
+    base = c.where(F.col("arm") == "seed42").select("label", F.col("recall").alias("was"))
     return c.join(base, "label").where(F.col("recall") < F.col("was")).select("arm", "label", F.round(F.col("recall") - F.col("was"), 6).alias("change"))
 
 

@@ -59,10 +59,13 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return views.results(spark, sf).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.count("pred_constrained") / F.count(F.lit(1)), 6).alias("coverage"), F.max("prompt_tokens").alias("longest"))
 
 
-@r.query("q_srt1_sorted_groups", f"SELECT source, group_id FROM ({views.RECORDS_SQL}) WHERE group_id IS NOT NULL GROUP BY ALL ORDER BY source, group_id LIMIT 50")
+@r.query("q_srt1_sorted_groups", f"SELECT source, group_id, row_number() OVER (ORDER BY source, group_id) AS place FROM (SELECT DISTINCT source, group_id FROM ({views.RECORDS_SQL}) WHERE group_id IS NOT NULL)")
 def sorted_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """The first groups in order: a top-k, not a full sort."""
-    return views.records(spark, sf).where(F.col("group_id").isNotNull()).select("source", "group_id").distinct().orderBy("source", "group_id").limit(50)
+    """All groups in order, with their place; sorted by ranges, not in one task."""
+    from assayer.plans.prefix import numbered
+
+    groups = views.records(spark, sf).where(F.col("group_id").isNotNull()).select("source", "group_id").distinct()
+    return numbered(groups, [], [F.col("source").asc(), F.col("group_id").asc()], "place").drop("n")
 
 
 @r.query("q_lim1_first_failures", "SELECT log_pos, id, error FROM result_log WHERE error IS NOT NULL ORDER BY log_pos LIMIT 20")
@@ -244,10 +247,12 @@ def criteria(spark: SparkSession, sf: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("criterion"), v.alias("met")) for k, v in rules.items()])).alias("c")).select("c.criterion", "c.met")
 
 
-@r.query("q_dat1_http_dates", "SELECT epoch(strptime('Thu, 01 Jan 1970 00:10:00', '%a, %d %b %Y %H:%M:%S'))::BIGINT AS seconds")
+@r.query("q_dat1_http_dates", """
+SELECT log_pos, strftime(written_at AT TIME ZONE 'UTC', '%a, %d %b %Y %H:%M:%S GMT') AS http, epoch(strptime(strftime(written_at AT TIME ZONE 'UTC', '%a, %d %b %Y %H:%M:%S'), '%a, %d %b %Y %H:%M:%S'))::BIGINT AS seconds FROM result_log WHERE written_at IS NOT NULL""")
 def http_dates(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.substring(F.lit("Thu, 01 Jan 1970 00:10:00 GMT"), 6, 20)
-    return spark.range(1).select(F.unix_timestamp(F.to_timestamp(text, "dd MMM yyyy HH:mm:ss")).alias("seconds"))
+    """Times as HTTP dates and back."""
+    http = table(spark, sf, "result_log").where(F.col("written_at").isNotNull()).select("log_pos", F.date_format("written_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("http"))
+    return http.select("log_pos", "http", F.unix_timestamp(F.to_timestamp(F.substring("http", 6, 20), "dd MMM yyyy HH:mm:ss")).alias("seconds"))
 
 
 @r.query("q_win1_running_accuracy", """

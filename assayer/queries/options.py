@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.text import LETTERS
@@ -65,22 +65,33 @@ SELECT id, 3 AS turns, length(state) + length(question) AS payload_chars FROM ({
 WHERE state IS NOT NULL AND question IS NOT NULL AND answer IS NOT NULL AND len(options) BETWEEN 2 AND 24""")
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """A record as chat turns: system, user (JSON payload), assistant; only records whose options are in order."""
+    made = _chats(spark, sf)
+    back = _payload("messages")
+    return made.select("id", F.size("messages").alias("turns"), (F.length(back["state"]) + F.length(back["question"])).cast("bigint").alias("payload_chars"))
+
+
+def _chats(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.first_records(spark, sf).where(F.col("state").isNotNull() & F.col("question").isNotNull() & F.col("answer").isNotNull() & F.size("options").between(2, 24))
     payload = F.to_json(F.struct("state", "question", F.col("options")), {"ignoreNullFields": "false"})
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     chat = F.array(turn("system", F.lit("Answer with one letter.")), turn("user", payload), turn("assistant", F.col("answer")))
-    made = rows.select("id", chat.alias("messages"))
-    back = F.from_json(F.filter("messages", lambda m: m["role"] == "user")[0]["content"], "state string, question string")
-    return made.select("id", F.size("messages").alias("turns"), (F.length(back["state"]) + F.length(back["question"])).cast("bigint").alias("payload_chars"))
+    return rows.select("id", chat.alias("messages"))
 
 
-@r.query("q_prj3_prompt_turns", f"SELECT count(*) AS n, 2 * count(*) AS turns FROM ({_R}) WHERE state IS NOT NULL AND question IS NOT NULL AND answer IS NOT NULL AND options IS NOT NULL")
+def _payload(messages: str) -> Column:
+    return F.from_json(F.filter(messages, lambda m: m["role"] == "user")[0]["content"], "state string, question string")
+
+
+@r.query("q_prj3_prompt_turns", f"""
+SELECT id, 2 AS turns, 'user' AS last_role, answer AS target, length(state) + length(question) AS payload_chars FROM ({_R})
+WHERE state IS NOT NULL AND question IS NOT NULL AND answer IS NOT NULL AND len(options) BETWEEN 2 AND 24""")
 def prompt_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """The assistant's turn dropped."""
-    rows = views.first_records(spark, sf).where(F.col("state").isNotNull() & F.col("question").isNotNull() & F.col("answer").isNotNull() & F.col("options").isNotNull())
-    chat = F.array(F.struct(F.lit("system").alias("role")), F.struct(F.lit("user").alias("role")), F.struct(F.lit("assistant").alias("role")))
-    kept = rows.select(F.slice(chat, F.lit(1), F.size(chat) - 1).alias("m"))
-    return kept.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("m")).alias("turns"))
+    """Chats cut before the assistant's turn, which becomes the target."""
+    from assayer.operators.options import prompt_of
+
+    cut = _chats(spark, sf).select("id", prompt_of(F.col("messages")).alias("prompt"), F.element_at("messages", -1)["content"].alias("target"))
+    back = _payload("prompt")
+    return cut.select("id", F.size("prompt").alias("turns"), F.element_at("prompt", -1)["role"].alias("last_role"), "target", (F.length(back["state"]) + F.length(back["question"])).cast("bigint").alias("payload_chars"))
 
 
 @r.query("q_prj9_state_kind", f"""

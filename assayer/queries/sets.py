@@ -70,7 +70,9 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
 
 @r.query("q_set7_conserved", """
 WITH p AS (SELECT DISTINCT id FROM records), c AS (SELECT DISTINCT id, coalesce(split, 'none') AS s FROM records), n AS (SELECT id, count(*) AS k FROM c GROUP BY id)
-SELECT (SELECT count(*) FROM p) AS n_parent, count(*) AS n_children, count(*) FILTER (WHERE k > 1) AS n_shared, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_foreign FROM n""")
+SELECT (SELECT count(*) FROM p) AS n_parent, count(*) AS n_children, count(*) FILTER (WHERE k > 1) AS n_shared,
+       (SELECT count(*) FROM (SELECT id FROM p EXCEPT SELECT id FROM c WHERE s IN ('train', 'dev', 'calibration', 'test', 'none'))) AS n_lost,
+       (SELECT count(*) FROM (SELECT id FROM c WHERE s IN ('train', 'dev', 'calibration', 'test', 'none') EXCEPT SELECT id FROM p)) AS n_foreign FROM n""")
 def conserved(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "records").select("id", F.coalesce("split", F.lit("none")).alias("s"))
     return setops.conserved(rows, [rows.where(F.col("s") == s) for s in ("train", "dev", "calibration", "test", "none")], "id")
@@ -257,10 +259,12 @@ def sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @r.query("q_smp3_balanced", f"""
-SELECT id, answer FROM (SELECT id, answer, row_number() OVER (PARTITION BY answer ORDER BY sha256(concat_ws(':', 's2', id)), id) AS turn FROM ({_R}) WHERE answer IS NOT NULL AND len(options) = 3 AND source = 'refund_policy') ORDER BY turn, answer LIMIT 60""")
+SELECT source, n_options, id, answer FROM (SELECT *, row_number() OVER (PARTITION BY source, n_options ORDER BY turn, answer) AS place FROM (
+  SELECT source, len(options) AS n_options, id, answer, row_number() OVER (PARTITION BY source, len(options), answer ORDER BY sha256(concat_ws(':', 's2', id)), id) AS turn FROM ({_R}) WHERE answer IS NOT NULL AND options IS NOT NULL)) WHERE place <= 12""")
 def balanced(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.first_records(spark, sf).where(F.col("answer").isNotNull() & (F.size("options") == 3) & (F.col("source") == "refund_policy")).select("id", "answer")
-    return sampling.balanced(rows, "answer", 60, "s2", "id")
+    """Of every source and number of options twelve records, answers in turn."""
+    rows = views.first_records(spark, sf).where(F.col("answer").isNotNull() & F.col("options").isNotNull()).select("source", F.size("options").cast("bigint").alias("n_options"), "id", "answer")
+    return sampling.balanced(rows, "answer", 12, "s2", "id", ["source", "n_options"])
 
 
 @r.query("q_smp4_quota", f"SELECT source, count(*) AS n FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws(':', 's3', id)), id) AS rn FROM ({_R}) WHERE split = 'train') WHERE rn <= 30 GROUP BY source")
@@ -334,11 +338,10 @@ def state_fields(spark: SparkSession, sf: str) -> DataFrame:
     return views.first_records(spark, sf).where(tier.isNotNull()).groupBy("source", tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@r.query("q_jsn4_fingerprint", "SELECT id, sha256(concat_ws('|', 'gold=' || gold, 'id=' || id, 'suite=' || suite)) AS fingerprint FROM exam_inputs")
+@r.query("q_jsn4_fingerprint", """SELECT id, sha256('{"gold":' || to_json(gold)::VARCHAR || ',"id":' || to_json(id)::VARCHAR || ',"suite":' || to_json(suite)::VARCHAR || '}') AS fingerprint FROM exam_inputs""")
 def json_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """A fingerprint over named fields in sorted order."""
-    parts = [F.concat(F.lit(f"{c}="), F.col(c)) for c in ("gold", "id", "suite")]
-    return table(spark, sf, "exam_inputs").select("id", F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))
+    """SHA-256 of canonical JSON: compact, names in order."""
+    return table(spark, sf, "exam_inputs").select("id", F.sha2(F.to_json(F.struct("gold", "id", "suite"), {"ignoreNullFields": "false"}), 256).alias("fingerprint"))
 
 
 @r.query("q_dat1_days", "SELECT CAST(date_trunc('day', written_at AT TIME ZONE 'UTC') AS VARCHAR)[1 : 10] AS day, count(*) AS n, count(correct) AS scored FROM result_log GROUP BY 1")
