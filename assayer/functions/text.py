@@ -56,3 +56,30 @@ def count_of_signs(text: Column, signs: str) -> Column:
 
 def percent(value: Column, digits: int = 2) -> Column:
     return F.concat(F.format_string(f"%.{digits}f", value * 100), F.lit("%"))
+
+
+def object_hashes(text: str | Column) -> Column:
+    """(plain, ascii): SHA-256 of the normal form of a JSON object's text with sorted names, without and with escapes beyond ASCII; null for other texts."""
+    import hashlib
+    import json
+    import re
+
+    word = re.compile(r"\w+")
+
+    def of_text(t: str | None) -> dict | None:
+        try:
+            value = json.loads(t) if t else None
+        except (ValueError, RecursionError):
+            return None
+        if not isinstance(value, dict):
+            return None
+        forms = (json.dumps(value, sort_keys=True, ensure_ascii=a) for a in (False, True))
+        plain, ascii_ = (hashlib.sha256(" ".join(word.findall(unicodedata.normalize("NFKC", f).casefold())).encode("utf-8", "surrogatepass")).hexdigest() for f in forms)
+        return {"plain": plain, "ascii": ascii_}
+
+    @F.pandas_udf("struct<plain:string,ascii:string>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of_text(t) or {"plain": None, "ascii": None} for t in texts], columns=["plain", "ascii"])
+
+    both = of(F.col(text) if isinstance(text, str) else text)
+    return F.when(both["plain"].isNotNull(), both)

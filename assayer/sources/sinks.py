@@ -66,13 +66,16 @@ def verify_written(rows: DataFrame, back: DataFrame) -> None:
 
 
 def markdown(rows: DataFrame, columns: Sequence[str] | None = None, most: int = 200) -> str:
-    """A report table of at most ``most`` rows."""
+    """A report table; of more than ``most`` rows the first ones, and a line that says so."""
     columns = list(columns or rows.columns)
     kinds = {f.name: f.dataType for f in rows.schema}
     show = lambda c, v: "–" if v is None else f"{v:.4f}" if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    for r in rows.select(*columns).limit(most).collect():
+    found = rows.select(*columns).limit(most + 1).collect()
+    for r in found[:most]:
         lines.append("| " + " | ".join(show(c, r[c]) for c in columns) + " |")
+    if len(found) > most:
+        lines.append("| " + " | ".join(["… more rows than shown", *[""] * (len(columns) - 1)]) + " |")
     return "\n".join(lines) + "\n"
 
 

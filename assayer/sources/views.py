@@ -22,9 +22,13 @@ RECORDS_SQL = "SELECT * REPLACE (lower(trim(source)) AS source, lower(trim(group
 
 def first_records(spark: SparkSession, sf: str) -> DataFrame:
     """One row per id: the first delivered (ties by split, question and state)."""
+    return first_of(records(spark, sf))
+
+
+def first_of(rows: DataFrame) -> DataFrame:
     from assayer.operators.dedup import first_by
 
-    r = records(spark, sf).select("id", "source", "group_id", "kind", "state", "question", "options", "answer", "answer_key", "split", "ingested_at")
+    r = rows.select("id", "source", "group_id", "kind", "state", "question", "options", "answer", "answer_key", "split", "ingested_at")
     return first_by(r, ["id"], [F.col("ingested_at").asc_nulls_last(), F.col("split").asc_nulls_last(), F.col("question").asc_nulls_last(), F.col("state").asc_nulls_last(), F.to_json("options").asc_nulls_last()])
 
 

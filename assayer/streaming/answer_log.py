@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -105,3 +105,20 @@ def windowed_counts(stream: DataFrame, at: str, by: str, width: str = "1 hour",
     """(window_start, by, n): tumbling windows with late data up to ``delay``."""
     w = stream.withWatermark(at, delay).groupBy(F.window(at, width), by).agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("window.start").alias("window_start"), by, "n")
+
+
+def sidecar_problems(log: DataFrame, batch: str, fields: list[str], kept: dict[str, str]) -> DataFrame:
+    """(batch, field, problem): the identity kept beside a run against each batch's, both ways."""
+    per = log.groupBy(batch).agg(*[F.min(f).alias(f) for f in fields])
+    found = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
+    want = F.create_map(*[F.lit(x) for kv in sorted(kept.items()) for x in kv])
+    missing = F.transform(F.array(*[F.lit(k) for k in sorted(kept) if k not in fields]), lambda k: F.struct(k.alias("field"), F.lit("missing").alias("problem")))
+    told = F.transform(found, lambda x: F.struct(x["field"].alias("field"), F.when(~F.map_contains_key(want, x["field"]), "foreign").when(~F.equal_null(F.try_element_at(want, x["field"]), x["value"]), "differs").alias("problem")))
+    rows = per.select(batch, F.explode(F.concat(told, missing)).alias("p"))
+    return rows.select(batch, "p.field", "p.problem").where(F.col("problem").isNotNull())
+
+
+def batches(log: DataFrame, batch: str, key: str, answered: Column) -> DataFrame:
+    """(batch, ids, answered, complete): a batch is complete if each of its identifiers was answered."""
+    ids = log.groupBy(batch, key).agg(F.max(answered.cast("int")).alias("answered"))
+    return ids.groupBy(batch).agg(F.count(F.lit(1)).alias("ids"), F.sum("answered").alias("answered"), (F.sum("answered") == F.count(F.lit(1))).alias("complete"))
