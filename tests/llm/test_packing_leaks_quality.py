@@ -67,6 +67,21 @@ def test_token_counts(spark):
     assert other == {1: 5}
 
 
+def test_counts_by_words_are_the_tokenizer_s():
+    import json
+
+    from tokenizers import Tokenizer
+
+    body = open(packing.TOKENIZER, "rb").read()
+    tokenizer = Tokenizer.from_str(body.decode())
+    tokenizer.encode_special_tokens = True
+    texts = ["Hello, WORLD's  end\n\ncan't\tI'LL 12345 — ok…", "", " \n", "这份申请 <|endoftext|> ΣΑΣ straße İx ǅ é é", "+---+\n|a | b|\x00", "x" * 5000, "🙂🙂 👩‍👩‍👧 ١٢٣ Ⅷ"]
+    expected = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert packing.counter(body, "json")(texts) == expected
+    assert packing._by_words(json.loads(body), lambda ts: [0] * len(ts)) is not None
+    assert packing._by_words({"normalizer": None}, len) is None
+
+
 def test_smith_waterman():
     def plain(a, b):
         best, row = 0, [0] * (len(b) + 1)
