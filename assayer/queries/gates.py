@@ -79,6 +79,50 @@ def log_probs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# What one row of the log must satisfy by itself: in Spark and in SQL, true where it is broken.
+_TOP = "list_max(map_values(probs))"
+_LOG_CHECKS = {
+    "confidence_range": ("confidence < 0 OR confidence > 1", "confidence < 0 OR confidence > 1"),
+    "judged_without_label": ("correct AND jev_label IS NULL", "correct AND jev_label IS NULL"),
+    "judged_without_key": ("correct AND jev_choice_key IS NULL", "correct AND jev_choice_key IS NULL"),
+    "judged_with_error": ("correct IS NOT NULL AND error IS NOT NULL", "correct IS NOT NULL AND error IS NOT NULL"),
+    "failure_without_error": ("correct IS NULL AND error IS NULL", "correct IS NULL AND error IS NULL"),
+    "failure_with_answer": ("correct IS NULL AND (jev_label IS NOT NULL OR confidence IS NOT NULL)", "correct IS NULL AND (jev_label IS NOT NULL OR confidence IS NOT NULL)"),
+    "right_but_other_key": ("correct AND jev_choice_key <> gold", "correct AND jev_choice_key <> gold"),
+    "wrong_but_same_key": ("NOT correct AND jev_choice_key = gold", "NOT correct AND jev_choice_key = gold"),
+    "label_is_no_letter": ("NOT regexp(jev_label, '^[A-X]$')", "NOT regexp_full_match(jev_label, '[A-X]')"),
+    "no_attempt": ("attempts < 1", "attempts < 1"),
+    "no_kind": ("kind IS NULL", "kind IS NULL"),
+    "no_gold": ("gold IS NULL", "gold IS NULL"),
+    "sha_form": ("NOT regexp(exam_sha256, '^[0-9a-f]{64}$')", "NOT regexp_full_match(exam_sha256, '[0-9a-f]{64}')"),
+    "probs_range": ("exists(map_values(probs), p -> p < 0 OR p > 1)", "len(list_filter(map_values(probs), lambda p: p < 0 OR p > 1)) > 0"),
+    "label_not_likeliest": ("cardinality(probs) > 0 AND try_element_at(probs, jev_label) < array_max(map_values(probs)) - 1e-9", f"cardinality(probs) > 0 AND probs[jev_label] < {_TOP} - 1e-9"),
+}
+
+
+@r.query("q_gat3_log", " UNION ALL ".join(f"SELECT '{k}' AS \"check\", lower(trim(source)) AS subject, count(*) FILTER (WHERE coalesce({v}, FALSE)) AS n_bad, count(*) AS n_seen, CASE WHEN count(*) FILTER (WHERE coalesce({v}, FALSE)) > 0 THEN 'fail' ELSE 'pass' END AS status FROM result_log GROUP BY 2" for k, (_, v) in _LOG_CHECKS.items()))
+def log_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Self-consistency of every row of the log, in one pass, per source."""
+    rows = table(spark, sf, "result_log").withColumn("source", F.lower(F.trim("source")))
+    return audits.report(audits.many(rows, {k: F.coalesce(F.expr(v), F.lit(False)) for k, (v, _) in _LOG_CHECKS.items()}, "source"))
+
+
+@r.query("q_gat2_items", f"""
+WITH w AS (SELECT id, answer, len(options) AS n FROM ({views.FIRST_RECORDS_SQL}) WHERE split IN ('dev', 'calibration', 'test')),
+j AS (SELECT g.arm, g.gold, g.n_options, g.split, w.id AS known, w.answer, w.n FROM ({views.RESULTS_SQL}) g LEFT JOIN w ON w.id = g.id),
+c AS (SELECT 'unknown_item' AS "check", arm AS subject, count(*) FILTER (WHERE known IS NULL) AS n_bad, count(*) AS n_seen FROM j GROUP BY arm
+ UNION ALL SELECT 'gold', arm, count(*) FILTER (WHERE known IS NOT NULL AND gold IS DISTINCT FROM answer), count(*) FROM j GROUP BY arm
+ UNION ALL SELECT 'n_options', arm, count(*) FILTER (WHERE known IS NOT NULL AND n_options IS DISTINCT FROM n), count(*) FROM j GROUP BY arm
+ UNION ALL SELECT 'no_split', arm, count(*) FILTER (WHERE split IS NULL), count(*) FROM j GROUP BY arm)
+SELECT *, CASE WHEN n_seen = 0 THEN 'unchecked' WHEN n_bad > 0 THEN 'fail' ELSE 'pass' END AS status FROM c""")
+def items_of_arms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every answered item against its record: gold and number of options must be those of the sealed item."""
+    want = views.first_records(spark, sf).where(F.col("split").isin("dev", "calibration", "test")).select("id", "answer", F.when(F.col("options").isNotNull(), F.size("options")).alias("n"), F.lit(True).alias("known"))
+    j = views.results(spark, sf).select("arm", "id", "gold", "n_options", "split").join(want, "id", "left")
+    known = F.col("known").isNotNull()
+    return audits.report(audits.many(j, {"unknown_item": ~known, "gold": known & ~F.equal_null("gold", "answer"), "n_options": known & ~F.equal_null(F.col("n_options").cast("int"), F.col("n")), "no_split": F.col("split").isNull()}, "arm"))
+
+
 _DIGEST = "CAST(sum(CAST(concat('0x', substr(sha256({0}), 1, 12)) AS HUGEINT)) AS VARCHAR)"
 _REGISTRY = {"base-c0": "decide-2b", "seed17": "decide-2b-lora", "seed42": "decide-2b-lora"}
 _STATUS = "CASE WHEN n_seen = 0 THEN 'unchecked' WHEN n_bad > 0 THEN 'fail' ELSE 'pass' END AS status"
