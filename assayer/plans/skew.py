@@ -24,6 +24,20 @@ def join_by_counted_key(rows: DataFrame, keyed: DataFrame, key: str, count: str,
     return rows.join(F.broadcast(heavy), key).unionByName(rows.join(marks, key, "left_anti").join(light, key))
 
 
+def join_in_parts(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread: str, total: int) -> DataFrame:
+    """Inner join of rows, read once, with one row per key, where ``count`` says how many rows a key has, at least about.
+
+    The rows of a heavy key (a share of HEAVY_SHARE or more: at most 2,000 keys, which are broadcast)
+    are dealt into parts of about that share by a hash of ``spread``; its one row is repeated for each part.
+    """
+    floor = max(1, int(total * HEAVY_SHARE))
+    ways = F.ceil(F.col(count) / floor).cast("int")
+    parts = F.broadcast(keyed.where(F.col(count) > floor).select(key, ways.alias("__ways")))
+    dealt = rows.join(parts, key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__ways")).cast("int"), F.lit(0))).drop("__ways")
+    repeated = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(ways, F.lit(1)) - 1)))
+    return dealt.join(repeated, [key, "__part"]).drop("__part")
+
+
 def expand(links: DataFrame, members: DataFrame, key: str, least: int = 5_000) -> DataFrame:
     """Inner join of links with the members of their keys, where either may repeat a key and one key may hold most members.
 

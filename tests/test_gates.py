@@ -95,6 +95,13 @@ def test_expand_holds_with_hot_keys(spark):
     assert skew.expand(links.limit(0), members, "key").count() == 0 == skew.expand(links, members.limit(0), "key").count()
 
 
+def test_join_in_parts(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(600)] + [("none", 1), (None, 2)], "key string, id long")
+    keyed = spark.createDataFrame([("hot", 400, "a"), ("k3", 1, "b"), ("k9", 0, "c"), ("absent", 5, "d")], "key string, n long, v string")
+    got = skew.join_in_parts(rows, keyed, "key", "n", "id", 600)
+    assert sorted((r["id"], r["v"]) for r in got.collect()) == sorted([(i, "a") for i in range(600) if i % 3] + [(3, "b"), (9, "c")])
+
+
 def test_long_reports_say_so(spark):
     text = sinks.markdown(spark.range(5), most=3)
     assert "more rows than shown" in text and text.count("\n") == 6
