@@ -42,6 +42,7 @@ from assayer.llm.canonical import _BREAK, _LINE, WORD
 from assayer.llm.residue_rules import Judge, key_is_residue
 from assayer.llm.tokens import WordHash, flat
 from assayer.plans.lineage import written
+from assayer.plans.skew import join_in_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of a SimHash, its blocks of 16 bits (one table each), and in how many bits near ones may differ.
@@ -156,7 +157,7 @@ def _text_key(text: str = "text") -> Column:
 
 
 def judged_segments(texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(text_key, seg, n_words, kind, trusted, body) of the segments of distinct (text, is_key); written.
+    """(text_key, n_rows, seg, n_words, kind, trusted, body) of the segments of distinct (text, is_key, n_rows); written.
 
     ``known`` (text, kind) adds texts that are residue as a whole; they belong to no record.
 
@@ -167,26 +168,26 @@ def judged_segments(texts: DataFrame, known: DataFrame | None = None) -> DataFra
         judge = Judge()
         for pdf in batches:
             rows = []
-            for key, text, is_key in zip(pdf["text_key"], pdf["text"], pdf["is_key"], strict=True):
+            for key, text, is_key, n in zip(pdf["text_key"], pdf["text"], pdf["is_key"], pdf["n_rows"], strict=True):
                 if is_key:
                     w = WORD.findall(text.casefold())
-                    rows.append((key, "placeholder" if key_is_residue(text) else None, False, " ".join(x for x in w if not _DIGIT(x)), len(w)))
+                    rows.append((key, "placeholder" if key_is_residue(text) else None, False, " ".join(x for x in w if not _DIGIT(x)), len(w), n))
                     continue
                 for s in segments(text):
                     w = WORD.findall(s.casefold())
                     kind, trusted = judge(s, w)
-                    rows.append((key, kind, trusted, " ".join(x for x in w if not _DIGIT(x)), len(w)))
+                    rows.append((key, kind, trusted, " ".join(x for x in w if not _DIGIT(x)), len(w), n))
             if rows:
-                yield pd.DataFrame(rows, columns=["text_key", "kind", "trusted", "body", "n_words"])
+                yield pd.DataFrame(rows, columns=["text_key", "kind", "trusted", "body", "n_words", "n_rows"])
 
-    schema = "text_key binary, kind string, trusted boolean, body string, n_words int"
-    found = texts.select(_text_key().alias("text_key"), "text", "is_key").mapInPandas(of, schema)
+    schema = "text_key binary, kind string, trusted boolean, body string, n_words int, n_rows long"
+    found = texts.select(_text_key().alias("text_key"), "text", "is_key", "n_rows").mapInPandas(of, schema)
     if known is not None:
 
         def as_known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 bodies = [WORD.findall(t.casefold()) for t in pdf["text"]]
-                yield pd.DataFrame({"text_key": None, "kind": pdf["kind"], "trusted": True, "body": [" ".join(x for x in w if not _DIGIT(x)) for w in bodies], "n_words": [len(w) for w in bodies]})
+                yield pd.DataFrame({"text_key": None, "kind": pdf["kind"], "trusted": True, "body": [" ".join(x for x in w if not _DIGIT(x)) for w in bodies], "n_words": [len(w) for w in bodies], "n_rows": 0})
 
         whole = known.where(F.col("text").isNotNull()).select("text", F.coalesce("kind", F.lit("known")).alias("kind"))
         found = found.unionByName(whole.mapInPandas(as_known, schema))
@@ -292,19 +293,20 @@ def spread(segs: DataFrame) -> DataFrame:
 
 
 def labelled_texts(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(text_key, kind): the distinct texts that hold residue."""
-    texts = record_texts(records).select("text", "is_key").distinct()
+    """(text_key, kind, n_rows): the distinct texts that hold residue, and in how many rows they stand."""
+    texts = record_texts(records).groupBy("text", "is_key").agg(F.count(F.lit(1)).alias("n_rows"))
     segs = judged_segments(texts, known)
-    own = segs.where(F.col("kind").isNotNull()).select("text_key", "kind")
-    via = segs.where(F.col("kind").isNull() & (F.col("body") != "")).join(spread(segs).withColumnRenamed("kind", "via"), "seg").select("text_key", F.col("via").alias("kind"))
-    return written(own.unionByName(via).where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.min("kind").alias("kind")), "residue-texts")
+    own = segs.where(F.col("kind").isNotNull()).select("text_key", "kind", "n_rows")
+    via = segs.where(F.col("kind").isNull() & (F.col("body") != "")).join(spread(segs).withColumnRenamed("kind", "via"), "seg").select("text_key", F.col("via").alias("kind"), "n_rows")
+    return written(own.unionByName(via).where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.min("kind").alias("kind"), F.max("n_rows").alias("n_rows")), "residue-texts")
 
 
-def residue(records: DataFrame, known: DataFrame | None = None, ways: int = 8) -> DataFrame:
+def residue(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, kind): records with residue and, of its kinds, the first by name; ``known`` (text, kind) are texts that label their near copies.
 
-    A text that very many records share is spread over ``ways`` tasks by the records' ids.
+    The rows of a text that very many records share are dealt to many tasks by the records' ids.
     """
-    held = record_texts(records).select("id", _text_key().alias("text_key"), F.pmod(F.xxhash64("id"), F.lit(ways)).cast("int").alias("salt"))
-    labels = labelled_texts(records, known).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).withColumn("salt", F.col("salt").cast("int"))
-    return held.join(labels, ["text_key", "salt"]).groupBy("id").agg(F.min("kind").alias("kind"))
+    labels = labelled_texts(records, known)
+    total = labels.agg(F.sum("n_rows")).first()[0] or 0
+    held = record_texts(records).select("id", _text_key().alias("text_key"))
+    return join_in_parts(held, labels, "text_key", "n_rows", "id", total).groupBy("id").agg(F.min("kind").alias("kind"))

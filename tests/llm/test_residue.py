@@ -160,6 +160,13 @@ def test_records_found_by_the_spread_alone(spark):
     assert residue.residue(df).count() == 0
 
 
+def test_hot_texts(spark):
+    """A text that a third of all records share."""
+    rows = [(f"i{k:04}", "404 Not Found" if k % 3 == 0 else f"An ordinary text {k} of its own", "What is it?", None) for k in range(1500)]
+    df = spark.createDataFrame(rows, f"id string, state string, question string, options {OPTION}")
+    assert {r["id"] for r in residue.residue(df).collect()} == {f"i{k:04}" for k in range(0, 1500, 3)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], f"id string, state string, question string, options {OPTION}")
     assert residue.residue(df).count() == 0
