@@ -51,8 +51,8 @@ def test_ledger_by_batches_equals_one_batch(spark):
     rows = spark.createDataFrame(ROWS, SCHEMA)
     whole = ledger.Ledger(spark, 4).fold(ledger.keyed(rows))
     led = ledger.Ledger(spark, 4)
-    for i in range(0, len(ROWS), 3):
-        led = led.fold(ledger.keyed(spark.createDataFrame(ROWS[i : i + 3], SCHEMA)))
+    for i in range(0, len(ROWS), 5):
+        led = led.fold(ledger.keyed(spark.createDataFrame(ROWS[i : i + 5], SCHEMA)))
     expected = {("a", "b", 2, 3), ("c", "c", 2, 2), ("f", "f", 2, 2), ("h", "h", 1, 2)}
     assert classes(whole) == classes(led) == classes(ledger.build(rows, 4)) == expected
     dups = {tuple(r) for r in ledger.duplicates(led).collect()}
