@@ -235,7 +235,9 @@ def sketched(rows: DataFrame, known: object | None = None) -> DataFrame:
             if len(s):
                 yield pd.DataFrame({"seg": list(pdf["seg"][keep]), "n": n[keep], "sketch": list(s.view(np.int64)), "blocks": list(blocks)})
 
-    return rows.select("seg", "body").mapInPandas(of, "seg binary, n int, sketch array<long>, blocks array<int>")
+    spaces = F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit("")))
+    enough = rows.select("seg", "body").where(spaces >= SHINGLE + LEAST_SHINGLES - 2)  # with fewer words there are fewer shingles
+    return enough.mapInPandas(of, "seg binary, n int, sketch array<long>, blocks array<int>")
 
 
 def _grams(text: str) -> set:
