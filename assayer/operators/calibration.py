@@ -71,7 +71,7 @@ def argmax_moved(scores: DataFrame, by: Sequence[str], temperature: Column) -> D
 
 
 def _best_slot(rows: DataFrame, by: Sequence[str], grid: list[float]) -> DataFrame:
-    t = F.get(F.array(*map(F.lit, grid)), F.col("slot"))
+    t = F.get(F.expr(f"array({', '.join(f'{x!r}D' for x in grid)})"), F.col("slot"))  # one call, not one a point
     per = rows.withColumn("t", t).groupBy(*by, "slot", "t").agg(F.avg(V.nll(V.scaled(F.col("z"), F.col("t")), F.col("gold"))).alias("nll"))
     best = per.groupBy(*by).agg(F.min(F.struct("nll", "t", "slot")).alias("b"))
     return best.select(*by, F.col("b.slot").alias("slot"), F.col("b.t").alias("temperature"), F.col("b.nll").alias("nll"))
